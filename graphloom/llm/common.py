@@ -15,11 +15,12 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The white space of the contracts: space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -116,3 +117,33 @@ def words(text: Column) -> Column:
 
 def low_mask(bits: int) -> int:
     return (1 << bits) - 1
+
+
+#: Texts that one call of a Python function sees; results leave the worker slice by slice.
+TEXTS = 256
+
+
+def map_texts(df: DataFrame, carry: Sequence[str], run: Callable[[list[str]], list], added: str) -> DataFrame:
+    """Columns ``carry`` of ``df`` with those that ``run`` makes of its texts, over Arrow batches.
+
+    ``run`` gets up to TEXTS whole texts (null as '') and returns a list or
+    array for each column of the schema ``added``.  Carried columns pass as
+    Arrow arrays, so nulls and large integers stay what they are.
+    """
+    head = df.select(*carry)
+    schema = T.StructType([*head.schema.fields, *T.StructType.fromDDL(added).fields])
+
+    def batches(arriving: Iterator) -> Iterator:
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        out = to_arrow_schema(schema)
+        for batch in arriving:
+            for at in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(at, TEXTS)
+                made = run([t or "" for t in part.column(len(carry)).to_pylist()])
+                columns = [part.column(i) for i in range(len(carry))]
+                columns += [pa.array(c, out.field(len(carry) + i).type) for i, c in enumerate(made)]
+                yield pa.RecordBatch.from_arrays(columns, names=out.names)
+
+    return df.select(*[F.col(c) for c in carry], F.col("text").alias("_text")).mapInArrow(batches, schema)

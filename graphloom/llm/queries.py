@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from graphloom.llm import mixing, rules, sharding, fingerprint
+from graphloom.llm import fingerprint, language, mixing, packing, rules, sharding, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op2_fingerprints": fingerprint.op2_fingerprints,
     "op6_mixing": mixing.op6_mixing,
+    "op7_packing": packing.op7_packing,
+    "op8_language": language.op8_language,
     "op9_quality_rules": rules.op9_quality_rules,
     "op10_sharding": sharding.op10_sharding,
 }

@@ -17,12 +17,12 @@ from graphloom.llm.common import map_texts, table
 from graphloom.llm.labelled import held_out
 
 #: A dictionary holds at most so many bytes, drawn from about so many documents, of each so many characters at most.
-DICTIONARY_BYTES = 96 << 10
-SAMPLE_DOCS = 120
+DICTIONARY_BYTES = 256 << 10
+SAMPLE_DOCS = 250
 SAMPLE_CHARS = 2_000
 #: At most so many languages (the most frequent) are learned; the whole training sample is then below 100 MB.
-LANGUAGES = 200
-LEVEL = 3
+LANGUAGES = 64
+LEVEL = 9
 #: Below this relative margin a prediction counts as rejected.
 MARGIN = 0.01
 UNKNOWN = "und"

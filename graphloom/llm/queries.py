@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from graphloom.llm import fingerprint, language, mixing, packing, rules, sharding, toxicity
+from graphloom.llm import fingerprint, language, mixing, neardup, packing, quality, rules, sharding, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_fingerprints": fingerprint.op2_fingerprints,
+    "op3_near_duplicates": neardup.op3_near_duplicates,
+    "op5_quality": quality.op5_quality,
     "op6_mixing": mixing.op6_mixing,
     "op7_packing": packing.op7_packing,
     "op8_language": language.op8_language,

@@ -1,12 +1,81 @@
-"""The corpus pipeline (stages are added as their operators are)."""
+"""The corpus pipeline: quality classifier, quality rules, near-duplicates, mixing, packing.
+
+Every stage is a function of (spark, docs, sf_dir); ``docs`` is what the stage
+before kept, with the columns of ``documents``.  ``run`` writes each stage's
+result as Parquet in the shared folder and gives it to the next.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from graphloom.llm import mixing, neardup, packing, quality, rules
+from graphloom.llm.common import materialise, small, table
+
+#: Ids of dropped documents are broadcast up to so many (8 bytes each); beyond, texts are shuffled to meet them.
+ID_ROWS = 1_000_000
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _columns(docs: DataFrame) -> list[str]:
+    return [c for c in COLUMNS if c in docs.columns]
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the hierarchical quality classifier  keeps."""
+    judged = quality.judge(docs, table(spark, sf_dir, "labels"), _columns(docs))
+    return judged.filter("kept").select(*_columns(docs))
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rule and every risk-controlled threshold."""
+    judged = rules.judge(docs, table(spark, sf_dir, "labels"), keep=_columns(docs))
+    return judged.filter("kept").select(*_columns(docs))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group: the one of least doc_id (repeated rows of it once)."""
+    rows = docs.select(*_columns(docs))
+    found = neardup.near_duplicates(rows.select("doc_id", "text")).filter(~F.col("kept")).select("doc_id").distinct()
+    gone = materialise(found, "gone")
+    left = rows.join(small(gone, ID_ROWS), "doc_id", "left_anti")
+    again = left.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).filter("k > 1 AND doc_id IS NOT NULL").select("doc_id")
+    again = materialise(again, "again")
+    if not again.limit(1).count():
+        return left
+    once = left.join(again, "doc_id", "left_anti")
+    return once.unionByName(left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them: whole copies, and a last one cut at a word where the mix cuts it.
+
+    Copies carry their document's doc_id.
+    """
+    return mixing.expand(docs.select(*_columns(docs)))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Numbered power-of-two sequences of all copies (a copy's pieces follow each other by start)."""
+    return packing.digest(docs)
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("quality rules", quality_rules),
+    ("near-dedup", near_dedup),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
 
-STAGES: list = []
+#: Trained models, hashes and a tokenizer have no SQL form; tests hold the stages against brute-force versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages over ``documents``."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+    return docs

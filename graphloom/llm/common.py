@@ -71,6 +71,11 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """Marked for broadcast if ``df`` (materialised, so counting is cheap) has at most ``rows`` rows, else unchanged."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def safe_eq(left: DataFrame, right: DataFrame, columns: Sequence[str]) -> Column:
     return reduce(lambda a, b: a & b, [left[c].eqNullSafe(right[c]) for c in columns])
 
@@ -97,10 +102,8 @@ def ranked(df: DataFrame, groups: Sequence[str], order: Sequence[str | Column],
         counts.select("_task", *groups, (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift")),
         "starts",
     )
-    small = starts.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    side = F.broadcast(starts) if small else starts
     return (
-        rows.join(side, safe_eq(rows, starts, ["_task", *groups]))
+        rows.join(small(starts, BROADCAST_ROWS), safe_eq(rows, starts, ["_task", *groups]))
         .select(*[rows[c] for c in df.columns], (rows["_at"] + starts["_shift"]).alias(name))
     )
 

@@ -73,8 +73,8 @@ def newton_tilt(targets: DataFrame, steps: int = NEWTON_STEPS) -> DataFrame:
     return targets.withColumn("tilt", F.when(live, solved)).withColumn("rate", F.coalesce(F.exp("tilt"), F.lit(0.0)))
 
 
-def mix(df: DataFrame, sizes: str = "size") -> DataFrame:
-    """Entropy-balanced copies of every row of ``df`` (needs doc_id, source and the column ``sizes``).
+def mix(df: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Entropy-balanced copies of every row of ``df`` (needs doc_id, source and size; ``carry`` are more columns to keep).
 
     Rates become whole copies by systematic rounding along each source's
     documents from the largest to the smallest, which keeps the taken tokens
@@ -84,7 +84,7 @@ def mix(df: DataFrame, sizes: str = "size") -> DataFrame:
     taken.  Null source is a source of its own, last in order; null size counts
     as 0; no hash or random draw is used, so reruns agree.
     """
-    docs = df.withColumn("size", F.coalesce(F.col(sizes), F.lit(0)).cast("long")).select("doc_id", "source", "size")
+    docs = df.select("doc_id", "source", F.coalesce(F.col("size"), F.lit(0)).cast("long").alias("size"), *carry)
     rows = ranked(docs, ["source"], [F.desc("size"), F.asc("doc_id")], "_rank")
     totals = docs.groupBy("source").agg(F.sum("size").alias("source_size"))
     solved = materialise(newton_tilt(capped_targets(totals)), "mix-targets")
@@ -93,7 +93,7 @@ def mix(df: DataFrame, sizes: str = "size") -> DataFrame:
     dealt = (
         rows.alias("r")
         .join(rates.alias("t"), F.col("r.source").eqNullSafe(F.col("t.source")))
-        .select("r.doc_id", "r.source", "r.size", "_rank", "source_size", "target", "rate", "_unit")
+        .select("r.doc_id", "r.source", "r.size", *carry, "_rank", "source_size", "target", "rate", "_unit")
         .withColumn("copies", whole("(_rank + 1)") - whole("_rank"))
     )
     others = dealt.filter("_rank > 0").groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("_others"))
@@ -108,7 +108,7 @@ def mix(df: DataFrame, sizes: str = "size") -> DataFrame:
                 F.greatest(F.lit(0), F.least(cut, F.col("size") * MOST))
             ),
         )
-        .select("d.doc_id", "d.source", "d.size", "source_size", "target", "rate", "copies", "taken")
+        .select("d.doc_id", "d.source", "d.size", *carry, "source_size", "target", "rate", "copies", "taken")
     )
 
 
@@ -116,6 +116,26 @@ def sized(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"))
 
 
+def expand(docs: DataFrame) -> DataFrame:
+    """The mixed corpus: rows of ``docs`` as often as taken, the last copy cut after its words where the mix cuts it.
+
+    Columns are those of ``docs`` (n_chars, if there, follows a cut).  Rows are
+    named by a written row number, so repeated doc_ids stay apart; a row that
+    takes nothing goes.
+    """
+    rows = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "mix-rows")
+    sizes = rows.select("doc_id", "source", "_row", F.size(words(F.col("text"))).cast("long").alias("size"))
+    taken = mix(sizes, ("_row",)).filter("taken > 0").select("_row", "size", "taken")
+    full, rest = F.expr("taken div size"), F.expr("taken % size")
+    copies = F.concat(F.array_repeat(F.lit(0).cast("long"), full.cast("int")), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")))
+    dealt = rows.join(taken.select("_row", copies.alias("_copies")), "_row").withColumn("_cut", F.explode("_copies"))
+    cut = F.array_join(F.slice(words(F.col("text")), F.lit(1), F.greatest(F.col("_cut"), F.lit(1)).cast("int")), " ")
+    out = dealt.withColumn("text", F.when(F.col("_cut") > 0, cut).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("_cut") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix of all documents by source.  Null text has size 0 and takes 0; an empty table gives no rows."""
     return mix(sized(table(spark, sf_dir, "documents"))).select(

@@ -129,21 +129,26 @@ def combine(scored: DataFrame, sites: DataFrame) -> DataFrame:
     return out.withColumn("kept", F.col("score") >= KEEP).drop(*s.columns)
 
 
-def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column) -> DataFrame:
-    """(doc_id, host, path, p_doc, p_host, p_path, score, kept) of every row of ``docs``.
+def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, carry: list[str]) -> DataFrame:
+    """Columns ``carry`` with host, path, p_doc, p_host, p_path, score and kept of every row of ``docs``.
 
     Null host or path is a site of its own; null text is judged as an empty
-    one; repeated rows are judged each; an empty table gives no rows.
+    one; repeated rows are judged each; an empty table gives no rows.  Texts
+    are read once: evidence is written with the carried columns.
     """
     model = train(docs, labels)
-    read = docs.select("doc_id", host.alias("host"), path.alias("path"), "text")
-    scored = materialise(evidence(read, model, ["doc_id", "host", "path"]), "quality-evidence")
+    read = docs.select(*carry, host.alias("host"), path.alias("path"), *([] if "text" in carry else ["text"]))
+    scored = materialise(evidence(read, model, [*carry, "host", "path"]), "quality-evidence")
     sites = materialise(site_posteriors(scored), "quality-sites")
     return combine(scored, sites)
 
 
+def judge(docs: DataFrame, labels: DataFrame, carry: list[str]) -> DataFrame:
+    """``classify`` with the source as host and its section in one language as path."""
+    return classify(docs, labels, F.col("source"), F.concat_ws("/", "source", F.coalesce("lang", F.lit("-"))), carry)
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document judged; its host is ``source``, its path that source's section in one language."""
-    docs = table(spark, sf_dir, "documents")
-    found = classify(docs, table(spark, sf_dir, "labels"), F.col("source"), F.concat_ws("/", "source", F.coalesce("lang", F.lit("-"))))
+    """Every document judged."""
+    found = judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ["doc_id"])
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "p_doc", "p_host", "p_path", "score", "kept")

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from graphloom.llm.common import fresh_path, materialise, release, table
+from graphloom.llm.common import fresh_path, materialise, release, small, table
 
 MAGIC = "WARC/1.1\r\n"
 GAP = "\r\n\r\n"
@@ -36,11 +36,6 @@ PREFIX = "urn:page:"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """``df`` (materialised), marked for broadcast if it is within BROADCAST_ROWS."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def describe(pages: DataFrame) -> DataFrame:
     """(page_id, url, html, bytes, digest, refers_to): who is a revisit of whom.
 
@@ -52,7 +47,7 @@ def describe(pages: DataFrame) -> DataFrame:
     known = pages.select("page_id", "url", html.alias("html"), F.octet_length(html).cast("long").alias("bytes"), F.sha2(html.cast("binary"), 256).alias("digest"))
     often = known.filter(F.col("bytes") >= LEAST_BYTES).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("k")).filter("k > 1")
     often = materialise(often.select(F.col("digest").alias("_digest"), "first_id"), "twice")
-    joined = known.join(_small(often), (F.col("digest") == F.col("_digest")) & (F.col("bytes") >= LEAST_BYTES), "left")
+    joined = known.join(small(often, BROADCAST_ROWS), (F.col("digest") == F.col("_digest")) & (F.col("bytes") >= LEAST_BYTES), "left")
     revisit = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     return joined.select("page_id", "url", "html", "bytes", "digest", F.when(revisit, F.col("first_id")).alias("refers_to"))
 
@@ -228,7 +223,7 @@ def _rejoined(spark: SparkSession, path: str, found: DataFrame, cut: DataFrame)
             )
 
     wanted = _chunks(spark, path).mapInArrow(run, "file bigint, block bigint, nth bigint, value binary")
-    whole = wanted.join(_small(pieces), ["file", "block", "nth"]).groupBy("file", "owner").agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("parts"))
+    whole = wanted.join(small(pieces, BROADCAST_ROWS), ["file", "block", "nth"]).groupBy("file", "owner").agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("parts"))
     return whole.mapInArrow(join, "file bigint, at bigint, payload_bytes bigint, payload_digest string")
 
 

@@ -18,44 +18,55 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.arrays import AT_BITS, AT_MASK, HASH_BITS, HASH_MASK, hashed, high, low, packed, windows
+from graphloom.llm.arrays import AT_BITS, AT_MASK, HASH_BITS, HASH_MASK, high, low
 from graphloom.llm.common import materialise, shuffle_width, spaced, table
 
 K = 3
-#: A tuple holds two elements (``coordinate`` orders a pair).
+#: ``coordinate`` orders a pair.
 L = 2
 COORDINATES = 64
-#: Longer runs without a blank are cut, so that texts without blanks have many tokens too.
+#: Where words are longer on average they are cut, so that texts without blanks have many tokens too.
 TOKEN = 24
 #: The "next document" pass deals documents to at most so many buckets of consecutive ids.
 MOST_BUCKETS = 65_536
 
 
-def tokens(text: Column) -> Column:
-    whole = F.array_remove(F.split(spaced(text), " ", -1), "")
-    pieces = F.regexp_extract_all(spaced(text), F.lit("[^ ]{1,%d}" % TOKEN), F.lit(0))
-    longest = F.coalesce(F.array_max(F.transform(whole, lambda w: F.length(w))), F.lit(0))
-    return F.when(longest > TOKEN, pieces).otherwise(whole)
+def with_tokens(df: DataFrame, text: Column, name: str) -> DataFrame:
+    """Add array ``name``: the text's words, or pieces of TOKEN characters if its words average more than that."""
+    spaces = df.withColumn("_fp_spaced", spaced(text)).withColumn(name, F.array_remove(F.split("_fp_spaced", " ", -1), ""))
+    pieces = F.regexp_extract_all(F.col("_fp_spaced"), F.lit("[^ ]{1,%d}" % TOKEN), F.lit(0))
+    longer = F.length("_fp_spaced") > F.size(name) * (TOKEN + 1)
+    return spaces.withColumn(name, F.when(longer, pieces).otherwise(F.col(name))).drop("_fp_spaced")
+
+
+def kmers(tokens: Column) -> Column:
+    """Packed (hash of K consecutive tokens, position), sorted; a shorter text is one k-mer."""
+    first = F.slice(tokens, F.lit(1), F.greatest(F.size(tokens) - (K - 1), F.lit(1)))
+    after = lambda i, j: F.when(i + j < F.size(tokens), tokens[F.least(i + j, F.size(tokens) - 1)])
+    long = lambda x, i: F.xxhash64(x, *[tokens[i + j] for j in range(1, K)])
+    short = lambda x, i: F.xxhash64(x, *[after(i, j) for j in range(1, K)])
+    pack = lambda h, i: h.bitwiseAND(F.lit(HASH_MASK)).bitwiseOR(F.least(i, F.lit(AT_MASK)).cast("long"))
+    grams = F.when(F.size(tokens) >= K, F.transform(first, lambda x, i: pack(long(x, i), i))).otherwise(
+        F.transform(first, lambda x, i: pack(short(x, i), i))
+    )
+    return F.sort_array(grams)
 
 
 def _numbered(pack: Column) -> Column:
-    """Packed (k-mer, position) sorted -> packed (hash of k-mer and its occurrence number, position), sorted.
+    """Packed k-mers sorted -> packed elements (k-mer and its occurrence number, position), sorted.
 
-    Equal k-mers stand together in text order; the start of an element's run is
-    found by steps of falling powers of two, so a text that repeats one word n
-    times costs n log n.
+    The first occurrence keeps the k-mer's hash, the n-th hashes the k-mer with
+    n.  Equal k-mers stand together in text order; the start of an element's
+    run is found by steps of falling powers of two, so a text that repeats one
+    word n times costs n log n.
     """
     bits = F.array(*[F.lit(1 << b) for b in range(AT_BITS - 1, -1, -1)])
 
-    def number(x: Column, t: Column) -> Column:
-        same = lambda s: high(pack[s]) == high(x)
-        start = F.aggregate(
-            bits, t, lambda at, step: F.when((at >= step) & same(F.greatest(at - step, F.lit(0))), at - step).otherwise(at)
-        )
-        return F.when((t == 0) | ~same(F.greatest(t - 1, F.lit(0))), F.lit(0)).otherwise(t - start)
-
     def element(x: Column, t: Column) -> Column:
-        return F.xxhash64(high(x), number(x, t)).bitwiseAND(F.lit(HASH_MASK)).bitwiseOR(low(x))
+        same = lambda s: F.shiftright(pack[s].bitwiseXOR(x), AT_BITS) == 0
+        start = F.aggregate(bits, t, lambda at, step: F.when((at >= step) & same(F.greatest(at - step, F.lit(0))), at - step).otherwise(at))
+        again = F.xxhash64(high(x), t - start).bitwiseAND(F.lit(HASH_MASK)).bitwiseOR(low(x))
+        return F.when((t > 0) & same(F.greatest(t - 1, F.lit(0))), again).otherwise(x)
 
     return F.sort_array(F.transform(pack, element))
 
@@ -72,27 +83,22 @@ def with_fingerprint(df: DataFrame, text: Column, name: str) -> DataFrame:
     in proportion to the row's own text.
     """
     t = "_fp_"
-    out = df.withColumn(f"{t}h", hashed(tokens(text)))
-    size = F.size(f"{t}h")
-    grams = F.when(size >= K, windows(f"{t}h", K)).when(size > 0, F.array(F.xxhash64(F.col(f"{t}h")))).otherwise(
-        F.array().cast("array<bigint>")
-    )
-    out = out.withColumn(f"{t}p", packed(grams)).drop(f"{t}h")
+    out = with_tokens(df, text, f"{t}w")
+    out = out.withColumn(f"{t}p", kmers(F.col(f"{t}w"))).drop(f"{t}w")
     out = out.withColumn(f"{t}s", _numbered(F.col(f"{t}p"))).drop(f"{t}p")
     s = F.col(f"{t}s")
     n = F.size(s)
     # anchors sorted in among the elements: an anchor's place less the anchors before it counts the elements below it
     marks = anchors()
-    out = out.withColumn(f"{t}m", F.sort_array(F.concat(F.transform(s, lambda x: x.bitwiseOR(F.lit(AT_MASK))), F.array(*[F.lit(a) for a in marks]))))
+    out = out.withColumn(f"{t}m", F.sort_array(F.concat(s, F.array(*[F.lit(a) for a in marks]))))
+    out = out.withColumn(f"{t}b", F.array(*[(F.array_position(f"{t}m", F.lit(a)) - (1 + j)).cast("int") for j, a in enumerate(marks)])).drop(f"{t}m")
 
-    def coordinate(j: int) -> Column:
-        below = F.array_position(F.col(f"{t}m"), F.lit(marks[j])).cast("int") - 1 - j
-        a, b = (s[F.pmod(below + i, F.greatest(n, F.lit(1)))] for i in range(L))
-        ordered = low(a) <= low(b)
-        return F.hash(high(F.when(ordered, a).otherwise(b)), high(F.when(ordered, b).otherwise(a)))
+    def coordinate(below: Column) -> Column:
+        a, b = (s[F.pmod(below + i, n)] for i in range(L))
+        return F.when(low(a) <= low(b), F.hash(high(a), high(b))).otherwise(F.hash(high(b), high(a)))
 
-    print_ = F.when(n > 0, F.array(*[coordinate(j) for j in range(COORDINATES)])).otherwise(F.array().cast("array<int>"))
-    return out.withColumn(name, print_).drop(f"{t}s", f"{t}m")
+    print_ = F.when(n > 0, F.transform(f"{t}b", coordinate)).otherwise(F.array().cast("array<int>"))
+    return out.withColumn(name, print_).drop(f"{t}s", f"{t}b")
 
 
 def likeness(a: Column, b: Column) -> Column:

@@ -33,7 +33,7 @@ def test_one_order_change_lowers_likeness_and_occurrences_count(spark):
 def test_elements_match_a_plain_version(spark):
     text = "a b c a b c a b d a b c"
     df = spark.createDataFrame([(text,)], "text string")
-    h = df.select(fp.hashed(fp.tokens(F.col("text"))).alias("h")).select(fp.packed(fp.windows("h", 3)).alias("p"))
+    h = fp.with_tokens(df, F.col("text"), "w").select(fp.kmers(F.col("w")).alias("p"))
     numbered = h.select(fp._numbered(F.col("p")).alias("s")).first()["s"]
     grams = [tuple(text.split()[i : i + 3]) for i in range(10)]
     assert len(set(x >> fp.AT_BITS for x in numbered)) == len(grams)

@@ -10,10 +10,14 @@
    agreements share one of the first ``COORDINATES - MATCHES + 1``.  Values
    that one class alone has cannot collide: they take up room in that prefix
    but are never posted, and a class with too few shared values leaves.
-3. Skip merging: each posting list first meets its least member only (a star).
-   Confirmed links are contracted, and lists that lie within one component are
-   skipped; only what is left of a list - members of different components -
-   is paired.  So a list of thousands of copies costs its length, not its square.
+3. Skip merging: each posting list first meets one member only (a star), the
+   one whose values are most frequent, which stands nearest to the text that
+   all were copied from.  Confirmed links are contracted, and lists that lie
+   within one component are skipped.  Of an open list only members outside its
+   largest component are paired, and only with members of other components and
+   within an exact bound: a set whose ``u`` shingles no other set in question
+   has shares at most ``n - u`` with any of them.  So a list of thousands of
+   copies costs its length, not its square.
 4. Candidates with enough agreeing coordinates are confirmed on full sets.
 """
 
@@ -143,29 +147,32 @@ def signatures(docs: DataFrame) -> DataFrame:
     return map_texts(docs, ["doc_id"], run, "n bigint, h1 bigint, h2 bigint, mins array<int>")
 
 
-def full_sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, h1, h2, hashes): the sets themselves, as sorted little-endian uint64 bytes."""
+def full_sets(docs: DataFrame, listed: bool = False) -> DataFrame:
+    """(doc_id, h1, h2, hashes): the sets themselves, as sorted little-endian uint64 bytes or (``listed``) arrays of longs."""
 
     def run(texts: list[str]) -> list:
         sets = [shingle_set(t) for t in texts]
         names = [_name(s) for s in sets]
-        return [[a for a, _ in names], [b for _, b in names], [s.astype("<u8").tobytes() for s in sets]]
+        return [[a for a, _ in names], [b for _, b in names], [s.view("int64") if listed else s.astype("<u8").tobytes() for s in sets]]
 
-    return map_texts(docs, ["doc_id"], run, "h1 bigint, h2 bigint, hashes binary")
+    return map_texts(docs, ["doc_id"], run, f"h1 bigint, h2 bigint, hashes {'array<bigint>' if listed else 'binary'}")
 
 
 def postings(classes: DataFrame) -> DataFrame:
-    """(key, rep) to be merged: each class under the rarest of its shared coordinate values.
+    """(key, rep, common) to be merged: each class under the rarest of its shared coordinate values.
 
     Of ``s`` shared values a class posts the ``s - MATCHES + 1`` rarest, which is
     the prefix of COORDINATES - MATCHES + 1 less the unshared values in it.
+    ``common`` measures how frequent all its values are.
     """
     every = classes.select("rep", F.explode(F.transform("mins", lambda v, j: F.shiftleft(j.cast("long"), 32).bitwiseOR(v.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))))).alias("key"))
     often = every.groupBy("key").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
     shared = every.join(often, "key")
     rare = Window.partitionBy("rep").orderBy("often", "key")
-    ranked_ = shared.withColumn("at", F.row_number().over(rare)).withColumn("s", F.count(F.lit(1)).over(Window.partitionBy("rep")))
-    return ranked_.filter((F.col("s") >= MATCHES) & (F.col("at") <= F.col("s") - (MATCHES - 1))).select("key", "rep")
+    each = Window.partitionBy("rep")
+    ranked_ = shared.withColumn("at", F.row_number().over(rare)).withColumn("s", F.count(F.lit(1)).over(each))
+    ranked_ = ranked_.withColumn("common", F.round(F.sum(F.log("often")).over(each), 6))
+    return ranked_.filter((F.col("s") >= MATCHES) & (F.col("at") <= F.col("s") - (MATCHES - 1))).select("key", "rep", "common")
 
 
 def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -205,22 +212,47 @@ def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def _stars(posted: DataFrame) -> DataFrame:
-    """Each list's least member with every other one."""
-    least = posted.groupBy("key").agg(F.min("rep").alias("a"), F.count(F.lit(1)).alias("k")).filter("k > 1")
-    return posted.join(least, "key").filter("rep <> a").select("a", F.col("rep").alias("b")).distinct()
+    """Each list's member of most frequent values with every other one."""
+    centre = posted.groupBy("key").agg(F.max_by("rep", F.struct("common", "rep")).alias("a"), F.count(F.lit(1)).alias("k")).filter("k > 1")
+    met = posted.join(centre, "key").filter("rep <> a")
+    return met.select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct()
 
 
-def _across(posted: DataFrame, found: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs of one list whose members are in different components, within the size bound."""
-    labelled = posted.join(found, posted["rep"] == found["node"], "left").select(
-        "key", "rep", F.coalesce("component", "rep").alias("component")
-    )
-    open_ = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
-    rest = labelled.join(open_, "key").join(classes.select("rep", "n"), "rep")
-    a, b = (rest.select("key", F.col("rep").alias(s), F.col("component").alias(f"c_{s}"), F.col("n").alias(f"n_{s}")) for s in "ab")
-    sized = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * PERCENT
-    pairs = a.join(b, (a["key"] == b["key"]) & (F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & sized)
-    return pairs.select("a", "b").distinct()
+def _own_shingles(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """(rep, u): of each id in question, how many shingles no other id in question has.  Texts are filtered before they are read into sets."""
+    n = ids.limit(BROADCAST_IDS + 1).count()
+    read = docs.select("doc_id", "text").join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+    each = full_sets(read, listed=True).select("doc_id", F.explode("hashes").alias("x"))
+    alone = each.groupBy("x").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("other")).filter("rep = other")
+    return alone.groupBy("rep").agg(F.count(F.lit(1)).alias("u"))
+
+
+def _within(m, n_a, n_b):
+    """Whether sets of sizes n_a and n_b that share at most m elements can be linked."""
+    return m * 100 >= (n_a + n_b - m) * PERCENT
+
+
+def _across(posted: DataFrame, found: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Pairs of one open list, one of them outside its largest component, that are in different components and can be linked.
+
+    An id of several texts counts with its largest set and none of its shingles as its own.
+    """
+    labelled = posted.join(found, posted["rep"] == found["node"], "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
+    per = labelled.groupBy("key", "component").agg(F.count(F.lit(1)).alias("k"))
+    open_ = per.groupBy("key").agg(F.max_by("component", F.struct("k", "component")).alias("major"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+    rest = materialise(labelled.join(open_.select("key", "major"), "key"), "open-lists")
+    ids = materialise(rest.select(F.col("rep").alias("doc_id")).distinct(), "open-ids")
+    own = _own_shingles(ids, docs)
+    sizes = classes.groupBy("rep").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("texts"))
+    known = sizes.join(own, "rep", "left").select("rep", "n", F.when(F.col("texts") > 1, F.col("n")).otherwise(F.col("n") - F.coalesce("u", F.lit(0))).alias("m"))
+    rest = materialise(rest.join(known, "rep"), "open-lists")
+    least = rest.groupBy("key").agg(F.min("n").alias("n_min"))
+    one = rest.filter("component <> major").join(least, "key").filter(_within(F.col("m"), F.col("n"), F.greatest("m", "n_min")))
+    a = one.select("key", *[F.col(c).alias(f"{c}_a") for c in ("rep", "component", "n", "m")])
+    b = rest.select(F.col("key").alias("key_b"), *[F.col(c).alias(f"{c}_b") for c in ("rep", "component", "n", "m")])
+    apart = F.col("component_a") != F.col("component_b")
+    pairs = a.join(b, (F.col("key") == F.col("key_b")) & apart & _within(F.least("m_a", "m_b"), F.col("n_a"), F.col("n_b")))
+    return pairs.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -243,7 +275,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     posted = materialise(postings(classes), "postings")
     links = materialise(confirm(_stars(posted), classes, docs), "links")
     found = materialise(components(links), "components")
-    more = materialise(confirm(_across(posted, found, classes), classes, docs), "links")
+    more = materialise(confirm(_across(posted, found, classes, docs), classes, docs), "links")
 
     # a doc_id of several texts joins their classes
     several = member.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("hi")).filter("b < hi").select("doc_id", "b")

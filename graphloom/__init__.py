@@ -1,0 +1 @@
+"""A PySpark-native analytics engine for weighted, time-stamped knowledge graphs."""

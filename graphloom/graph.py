@@ -52,7 +52,7 @@ def supply(spark: SparkSession, d: str) -> DataFrame:
     """(suppkey, partkey, n_obs, total_weight): deliveries grouped to one edge a pair."""
     worth = F.col("l_extendedprice") * (1 - F.col("l_discount"))
     return table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("suppkey"), F.col("l_partkey").alias("partkey")).agg(
-        F.count(F.lit(1)).alias("n_obs"), F.round(F.sum(worth), 2).alias("total_weight")
+        F.count(F.lit(1)).alias("n_obs"), F.round(F.sum(worth), 4).alias("total_weight")
     )
 
 

@@ -124,21 +124,25 @@ def forecast(spark: SparkSession, d: str, seed: str, depth: int = 4, decay: floa
     """(depth, node_id, confidence): the ``width`` best new nodes of each depth.
 
     Confidence of a hop = confidence before x decay x n_obs / most n_obs of the
-    expanded node; ties by node order.  Each depth expands at most ``width``
-    nodes and is a top-k, so the unrolled loop stays a short plan whatever
-    the graph's size; nodes seen at any earlier depth are not new.
+    expanded node; ties by node order; nodes seen at any earlier depth are not
+    new.  Only the front, at most ``width`` nodes a depth, comes to the driver;
+    each depth is one top-k job over the links.
     """
     links = _links(spark, d)
-    front = links.select("a").filter(F.col("a") == seed).limit(1).select(F.col("a").alias("node_id"), F.lit(1.0).alias("confidence"), F.lit(0).alias("depth"))
-    seen = front
+    schema = "node_id string, confidence double, depth int"
+    found = links.filter(F.col("a") == seed).select("a").limit(1).collect()
+    seen = [(r["a"], 1.0, 0) for r in found]
+    front = seen
     for level in range(1, depth + 1):
-        last = seen.filter(F.col("depth") == level - 1)
-        hops = links.join(F.broadcast(last.select(F.col("node_id").alias("a"), "confidence")), "a")
-        new = hops.join(F.broadcast(seen.select(F.col("node_id").alias("b"))), "b", "left_anti")
-        best = new.groupBy("b", "b_seq").agg(F.max(F.round(F.col("confidence") * decay * F.col("share"), 9)).alias("confidence"))
-        kept = best.orderBy(F.desc("confidence"), "b_seq").limit(width)
-        seen = seen.unionByName(kept.select(F.col("b").alias("node_id"), "confidence", F.lit(level).alias("depth")))
-    return seen.filter("depth > 0").select("depth", "node_id", "confidence")
+        if not front:
+            break
+        last = spark.createDataFrame([(n, c) for n, c, _ in front], "a string, confidence double")
+        known = [n for n, _, _ in seen]
+        hops = links.join(F.broadcast(last), "a").filter(~F.col("b").isin(known))
+        best = hops.groupBy("b", "b_seq").agg(F.max(F.round(F.col("confidence") * decay * F.col("share"), 9)).alias("confidence"))
+        front = [(r["b"], r["confidence"], level) for r in best.orderBy(F.desc("confidence"), "b_seq").limit(width).collect()]
+        seen = seen + front
+    return spark.createDataFrame(seen, schema).filter("depth > 0").select("depth", "node_id", "confidence")
 
 
 def scenario(steps: DataFrame, shown: int = 5) -> DataFrame:

@@ -12,7 +12,7 @@ kg_nodes AS (
 )"""
 SUPPLY = """
 supply AS (
-  SELECT l_suppkey AS suppkey, l_partkey AS partkey, count(*) AS n_obs, round(sum(l_extendedprice * (1 - l_discount)), 2) AS total_weight
+  SELECT l_suppkey AS suppkey, l_partkey AS partkey, count(*) AS n_obs, round(sum(l_extendedprice * (1 - l_discount)), 4) AS total_weight
   FROM lineitem GROUP BY 1, 2
 ), strong AS (SELECT suppkey AS s, partkey AS p, n_obs FROM supply WHERE n_obs >= 2)"""
 EDGES = """

@@ -8,6 +8,7 @@ bucket and batch together, so no sequence crosses documents and none is padded.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,10 +20,12 @@ MOST = 1024
 END = 0
 TOKENIZER = "byte_bpe_50k.json"
 
-#: Documents tokenized at once; the cache of encoded words is emptied beyond so many entries and holds no longer ones.
+#: Documents tokenized at once.
 SLICE = 128
-CACHE_ENTRIES = 300_000
-CACHE_WORD = 64
+#: The vocabulary's split into pre-tokens, and the same for texts without two blanks in a row: a pattern
+#: without look-ahead, which the engine runs as a plain automaton.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+SPLIT_SINGLE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s"
 
 PIECES = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint"
 
@@ -33,42 +36,52 @@ def piece_lengths(n: int, most: int = MOST) -> list[int]:
     return [most] * (n // most) + [1 << b for b in range(most.bit_length() - 1, -1, -1) if rest >> b & 1]
 
 
+def byte_letters() -> dict[str, int]:
+    """The letter of each byte in a byte-level vocabulary: printable Latin-1 stands for itself, the others follow from U+0100."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
+def single_spaced(text: str) -> bool:
+    """No two blanks (in the widest sense) stand side by side."""
+    if not text:
+        return True
+    words = text.split()
+    blanks = len(text) - sum(map(len, words))
+    return blanks <= len(words) - 1 + text[0].isspace() + text[-1].isspace()
+
+
 class Encoder:
-    """Whole-text ids as little-endian uint32 bytes, equal to the tokenizer's own on the whole text.
+    """Whole-text ids as little-endian uint32 bytes, equal to those of the tokenizer file without added special tokens.
 
-    Byte-level BPE merges only within pre-tokens, and a single space before a
-    non-blank always opens a new one.  So a text without doubled or trailing
-    spaces is the concatenation of its space-separated pieces, which repeat and
-    are cached; any other text is encoded in one go.  Strings of special tokens
-    are ordinary text.
+    The file's vocabulary lists merges in order of id, so its tokens' bytes
+    ranked by id are the whole model.  Strings of special tokens are ordinary text.
     """
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
+        import json
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.cache: dict[str, bytes] = {}
+        import tiktoken
 
-    def batch(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
-
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
+        with open(path, encoding="utf-8") as file:
+            model = json.load(file)
+        special = {t["id"] for t in model.get("added_tokens", []) if t.get("special")}
+        letters = byte_letters()
+        ranks = {bytes(map(letters.__getitem__, t)): i for t, i in model["model"]["vocab"].items() if i not in special}
+        self.full, self.single = (
+            tiktoken.Encoding(name, pat_str=pattern, mergeable_ranks=ranks, special_tokens={}) for name, pattern in (("full", SPLIT), ("single", SPLIT_SINGLE))
+        )
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.cache) > CACHE_ENTRIES:
-            self.cache.clear()
-        cache = self.cache
-        split = [None if "  " in t or t.endswith(" ") else t.split(" ") for t in texts]
-        new = list({p for ps in split if ps for p in ps[1:]} - cache.keys())
-        cache.update(zip(new, self.batch([" " + p for p in new]), strict=True))
-        heads = self.batch([t if ps is None else ps[0] for t, ps in zip(texts, split, strict=True)])
-        out = [h if ps is None else h + b"".join(map(cache.__getitem__, ps[1:])) for h, ps in zip(heads, split, strict=True)]
-        for p in new:
-            if len(p) > CACHE_WORD:
-                del cache[p]
-        return out
+        from array import array
+
+        ids = [(self.single if single_spaced(t) else self.full).encode_ordinary(t) for t in texts]
+        out = [array("I", i) for i in ids]
+        if sys.byteorder == "big":
+            for a in out:
+                a.byteswap()
+        return [a.tobytes() for a in out]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -76,9 +89,6 @@ _encoders: dict[str, Encoder] = {}
 
 def encoder(path: str | None) -> Encoder:
     """One encoder a worker process and file; None: the public vocabulary ``TOKENIZER``."""
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     if path is None:
         import public_tokenizers
 

@@ -171,3 +171,30 @@ def equifinal(spark: SparkSession, d: str, seed: int, n_paths: int = 20) -> Data
     best = Window.partitionBy("p").orderBy(F.desc(F.round("chance", 12)), "via_p", "via_s")
     kept = one.unionByName(three).withColumn("r", F.row_number().over(best)).filter(F.col("r") <= n_paths)
     return kept.groupBy("p").agg(F.count(F.lit(1)).alias("n_paths"), F.round(1 - F.exp(F.sum(F.log(1 - F.col("chance")))), 6).alias("probability"))
+
+
+def recombination(spark: SparkSession, d: str, least: int = 2) -> DataFrame:
+    """(s, t, common, kept, dropped): supplier pairs that share ``least`` part types or more; types both have, and one has."""
+    e = strong(spark, d).join(table(spark, d, "part").select(F.col("p_partkey").alias("p"), F.col("p_type").alias("kind")), "p")
+    kinds = e.groupBy("s").agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
+    pairs = shared_parts(strong(spark, d)).filter("s < t")
+    both = pairs.join(kinds.select("s", F.col("kinds").alias("ks")), "s").join(kinds.select(F.col("s").alias("t"), F.col("kinds").alias("kt")), "t")
+    kept, gone = F.array_intersect("ks", "kt"), F.array_except(F.array_union("ks", "kt"), F.array_intersect("ks", "kt"))
+    return both.filter(F.size(kept) >= least).select("s", "t", "common", F.size(kept).alias("kept"), F.size(gone).alias("dropped"))
+
+
+def emerging(spark: SparkSession, d: str, share: float = 0.25) -> DataFrame:
+    """(nation, n_suppliers, n_links, density, emerging): linked supplier pairs of a nation over its possible pairs."""
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("s"), F.col("s_nationkey").alias("nation"))
+    sizes = s.groupBy("nation").agg(F.count(F.lit(1)).alias("n_suppliers"))
+    linked = shared_parts(strong(spark, d)).filter("s < t")
+    inside = linked.join(s, "s").join(s.select(F.col("s").alias("t"), F.col("nation").alias("other")), "t").filter("nation = other")
+    links = inside.groupBy("nation").agg(F.count(F.lit(1)).alias("n_links"))
+    full = sizes.join(links, "nation", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)))
+    density = F.try_divide(2 * F.col("n_links"), F.col("n_suppliers") * (F.col("n_suppliers") - 1))
+    return full.withColumn("density", F.round(density, 6)).withColumn("emerging", F.coalesce(F.col("density") >= share, F.lit(False)))
+
+
+def void_pressure(gaps: DataFrame) -> DataFrame:
+    """(s, n_gaps, pressure): 1 - exp(-gap score / 10) summed over a supplier's gaps."""
+    return gaps.groupBy("s").agg(F.count(F.lit(1)).alias("n_gaps"), F.round(F.sum(1 - F.exp(-F.col("gap_score") / 10.0)), 6).alias("pressure"))

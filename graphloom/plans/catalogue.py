@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom import graph
 from graphloom.functions import embedding, scalars
-from graphloom.operators import folds, lookup, ranking, structure, temporal, text, vectors
+from graphloom.operators import folds, learning, lookup, ranking, structure, temporal, text, vectors
 from graphloom.plans.oracles import ORACLES
 from graphloom.sources import artifacts
 from graphloom.sources.tables import table, union_signals
@@ -225,6 +225,13 @@ QUERIES = {
     "isomorphism": isomorphism,
     "simultaneous_discovery": simultaneous_discovery,
     "readiness": readiness,
+    "node_vectors": lambda spark, d: learning.node_vectors(spark, d).select("node_id", *[F.round(F.col("x")[i], 6).alias(c) for i, c in enumerate("abc")]),
+    "message_passing": learning.message_passing,
+    "topology_features": learning.topology,
+    "epoch_progress": _series(learning.epoch_progress),
+    "recombination": structure.recombination,
+    "emerging_clusters": structure.emerging,
+    "void_pressure": lambda spark, d: structure.void_pressure(structure.phantom_gaps(graph.strong(spark, d))),
 }
 
 __all__ = ["ORACLES", "QUERIES"]

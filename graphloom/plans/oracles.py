@@ -234,4 +234,33 @@ SELECT p_brand AS brand, min({MONTHS.format('l_shipdate')}) AS first_month, max(
     "readiness": f"""
 WITH {SUPPLY}, s AS (SELECT p_type AS domain, count(DISTINCT s) AS suppliers, sum(n_obs) AS obs, avg(p_size) AS size, avg(p_retailprice) AS price FROM strong JOIN part ON p_partkey = p GROUP BY 1)
 SELECT domain, suppliers >= 5 AS structural, obs >= 1000 AS cultural, size <= 26 AS resource, price <= 1500 AS temporal, suppliers >= 5 AND obs >= 1000 AND size <= 26 AND price <= 1500 AS ready FROM s""",
+    "node_vectors": f"""
+WITH {NODES} SELECT node_id, CASE WHEN ts_sec <> 0 THEN round((CAST(trunc(ts_sec / 31536000.0 + 1970) AS INTEGER) - 1900) / CAST(100 AS DOUBLE), 6) ELSE 0 END AS a,
+  CASE WHEN ts_sec <> 0 THEN round(acceleration_multiplier, 6) ELSE 0 END AS b, CASE WHEN ts_sec <> 0 THEN round(zone_multiplier, 6) ELSE 0 END AS c FROM kg_nodes""",
+    "message_passing": f"""
+WITH {NODES}, {SUPPLY}, both_ways AS (SELECT 'S' || s AS src, 'P' || p AS tgt FROM strong UNION ALL SELECT 'P' || p, 'S' || s FROM strong),
+v0 AS (SELECT node_id, CASE WHEN ts_sec <> 0 THEN (CAST(trunc(ts_sec / 31536000.0 + 1970) AS INTEGER) - 1900) / CAST(100 AS DOUBLE) ELSE 0 END AS a,
+  CASE WHEN ts_sec <> 0 THEN acceleration_multiplier ELSE 0 END AS b, CASE WHEN ts_sec <> 0 THEN zone_multiplier ELSE 0 END AS c FROM kg_nodes),
+n1 AS (SELECT tgt, avg(a) AS a, avg(b) AS b, avg(c) AS c FROM both_ways JOIN v0 ON node_id = src GROUP BY 1),
+v1 AS (SELECT node_id, (v0.a + coalesce(n1.a, v0.a)) / 2 AS a, (v0.b + coalesce(n1.b, v0.b)) / 2 AS b, (v0.c + coalesce(n1.c, v0.c)) / 2 AS c FROM v0 LEFT JOIN n1 ON tgt = node_id),
+n2 AS (SELECT tgt, avg(a) AS a, avg(b) AS b, avg(c) AS c FROM both_ways JOIN v1 ON node_id = src GROUP BY 1)
+SELECT node_id, round((v1.a + coalesce(n2.a, v1.a)) / 2, 6) AS a, round((v1.b + coalesce(n2.b, v1.b)) / 2, 6) AS b, round((v1.c + coalesce(n2.c, v1.c)) / 2, 6) AS c FROM v1 LEFT JOIN n2 ON tgt = node_id""",
+    "topology_features": f"""
+WITH {NODES}, {SUPPLY}, t AS (SELECT 'S' || suppkey AS k, count(*) AS degree, CAST(sum(n_obs) AS BIGINT) AS strength, round(avg(total_weight), 4) AS mean_weight FROM supply GROUP BY 1
+  UNION ALL SELECT 'P' || partkey, count(*), CAST(sum(n_obs) AS BIGINT), round(avg(total_weight), 4) FROM supply GROUP BY 1)
+SELECT node_id, degree, strength, mean_weight FROM kg_nodes LEFT JOIN t ON k = node_id""",
+    "epoch_progress": f"""
+WITH {SERIES} SELECT epoch, i, round((i + 1) / CAST(count(*) OVER (PARTITION BY epoch) AS DOUBLE), 6) AS progress, round(loss / 2, 6) AS scaled,
+  round(sqrt(sum(loss * loss) OVER (PARTITION BY epoch ORDER BY i)), 6) AS norm, (i + 1) % 2 = 0 OR lead(i) OVER (PARTITION BY epoch ORDER BY i) IS NULL AS closes FROM series""",
+    "recombination": f"""
+WITH {SUPPLY}, k AS (SELECT DISTINCT s, p_type AS kind FROM strong JOIN part ON p_partkey = p), n AS (SELECT s, count(*) AS n FROM k GROUP BY 1),
+pairs AS (SELECT a.s, b.s AS t, count(*) AS common FROM strong a JOIN strong b ON a.p = b.p AND a.s < b.s GROUP BY 1, 2),
+both_kinds AS (SELECT a.s, b.s AS t, count(*) AS kept FROM k a JOIN k b ON a.kind = b.kind AND a.s < b.s GROUP BY 1, 2)
+SELECT s, t, common, CAST(kept AS INTEGER) AS kept, CAST(x.n + y.n - 2 * kept AS INTEGER) AS dropped FROM pairs JOIN both_kinds USING (s, t) JOIN n x USING (s) JOIN n y ON y.s = t WHERE kept >= 2""",
+    "emerging_clusters": f"""
+WITH {SUPPLY}, z AS (SELECT s_nationkey AS nation, count(*) AS n_suppliers FROM supplier GROUP BY 1), pairs AS (SELECT DISTINCT a.s, b.s AS t FROM strong a JOIN strong b ON a.p = b.p AND a.s < b.s),
+l AS (SELECT x.s_nationkey AS nation, count(*) AS n FROM pairs JOIN supplier x ON x.s_suppkey = s JOIN supplier y ON y.s_suppkey = t AND y.s_nationkey = x.s_nationkey GROUP BY 1)
+SELECT nation, n_suppliers, coalesce(n, 0) AS n_links, round(2 * coalesce(n, 0) / CAST(nullif(n_suppliers * (n_suppliers - 1), 0) AS DOUBLE), 6) AS density,
+  coalesce(round(2 * coalesce(n, 0) / CAST(nullif(n_suppliers * (n_suppliers - 1), 0) AS DOUBLE), 6) >= 0.25, FALSE) AS emerging FROM z LEFT JOIN l USING (nation)""",
+    "void_pressure": f"""WITH {SUPPLY}, {GAPS} SELECT s, count(*) AS n_gaps, round(sum(1 - exp(-gap_score / CAST(10 AS DOUBLE))), 6) AS pressure FROM gaps GROUP BY 1""",
 }

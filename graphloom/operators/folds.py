@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from graphloom.operators.ordering import ranked
 from graphloom.sources.tables import table
 
 
@@ -62,7 +63,7 @@ def early_stop(series: DataFrame, patience: int, min_delta: float, points: int |
 
 def shuffled(df: DataFrame, key: str, seed: int) -> DataFrame:
     """Position of every row in a seeded order of its key's hash: reproducible on any partitioning."""
-    return df.withColumn("pos", F.row_number().over(Window.orderBy(F.xxhash64(F.lit(seed), key), key)) - 1)
+    return ranked(df, [], [F.xxhash64(F.lit(seed), F.col(key)), F.col(key)], "pos")
 
 
 def batches(series: DataFrame, size: int, drop_last: bool) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from graphloom import graph
 from graphloom.functions import embedding, scalars
 from graphloom.operators import folds, learning, lookup, ranking, structure, temporal, text, vectors
+from graphloom.operators.ordering import ranked
 from graphloom.plans.oracles import ORACLES
 from graphloom.sources import artifacts
 from graphloom.sources.tables import table, union_signals
@@ -25,11 +26,8 @@ def _restricted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def node_features(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    pos = F.row_number().over(Window.partitionBy("kind").orderBy("seq")) - 1
-    return graph.nodes(spark, d).select(
-        "node_id", pos.alias("pos"), scalars.approx_year(F.col("ts_sec")).alias("year_approx"), "acceleration_multiplier", "zone_multiplier", scalars.label(F.col("text"), F.col("node_id")).alias("label")
+    return ranked(graph.nodes(spark, d), [], ["seq"], "pos").select(
+        "node_id", "pos", scalars.approx_year(F.col("ts_sec")).alias("year_approx"), "acceleration_multiplier", "zone_multiplier", scalars.label(F.col("text"), F.col("node_id")).alias("label")
     )
 
 

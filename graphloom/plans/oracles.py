@@ -39,7 +39,7 @@ MONTHS = "year({0}) * 12 + month({0}) - 1"
 
 ORACLES = {
     "node_features": f"""
-WITH {NODES} SELECT node_id, row_number() OVER (PARTITION BY kind ORDER BY seq) - 1 AS pos,
+WITH {NODES} SELECT node_id, row_number() OVER (ORDER BY seq) - 1 AS pos,
   greatest(least(CASE WHEN ts_sec <> 0 THEN CAST(trunc(ts_sec / 31536000.0 + 1970) AS INTEGER) ELSE 2000 END, 2100), 1700) AS year_approx,
   acceleration_multiplier, zone_multiplier, substring(text, 1, 50) AS label FROM kg_nodes""",
     "edge_partition": f"""

@@ -2,19 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-
-def shared(spark: SparkSession, name: str) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "graphloom-shared")
-    return f"{root}/streams/{name}-{uuid.uuid4().hex}"
+from graphloom.sources.shared import fresh_path
 
 
 def source(spark: SparkSession, d: str, watermark: str = "1 hour") -> DataFrame:
@@ -27,7 +21,7 @@ def source(spark: SparkSession, d: str, watermark: str = "1 hour") -> DataFrame:
 
 def drained(query: Callable[[str], StreamingQuery], spark: SparkSession, name: str) -> DataFrame:
     """Run a query with its own checkpoint to the end of what is there; its Parquet result."""
-    out = shared(spark, name)
+    out = fresh_path(spark, f"stream-{name}")
     started = query(out)
     started.awaitTermination()
     return spark.read.parquet(f"{out}/data")

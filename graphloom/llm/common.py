@@ -1,112 +1,22 @@
-"""Shared pieces of the training-data operators.
-
-Everything here is plain DataFrame code.  Two ideas recur:
-
-* ``materialise`` cuts lineage by writing a Parquet table below the folder that
-  ``spark.checkpoint.dir`` names, so a lost executor re-reads instead of
-  recomputing, and a plan that needs a table twice sees the same rows twice.
-* ``ranked`` numbers rows 0.. inside groups of any size: a range exchange
-  spreads a hot group over many tasks, and only one count per (task, group) is
-  summed up.
-"""
+"""Shared pieces of the training-data operators: words, and Python functions over whole texts."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: The white space of the contracts: space and U+0009 to U+000D.
-WORD = r"[^\x20\x09-\x0D]+"
-BLANK = " \t\n\x0b\x0c\r"
-
-#: ``ranked`` broadcasts its table of offsets up to this many rows (about 100 bytes each).
-BROADCAST_ROWS = 100_000
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one is set only where the session names none."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + os.path.join(tempfile.gettempdir(), "graphloom-shared")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/graphloom/{name}-{uuid.uuid4().hex}"
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Remove a table that ``materialise`` wrote and that nothing reads any more."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back (schema given, so no inference pass)."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.graphloom_path = path
-    return out
+from graphloom.operators.ordering import ranked, shuffle_width, small
+from graphloom.sources.shared import fresh_path, materialise, release
+from graphloom.sources.tables import table
 
+__all__ = ["fresh_path", "map_texts", "materialise", "ranked", "release", "shuffle_width", "small", "spaced", "table", "words"]
 
-def release(df: DataFrame) -> None:
-    drop_path(df.sparkSession, df.graphloom_path)
-
-
-def shuffle_width(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """Marked for broadcast if ``df`` (materialised, so counting is cheap) has at most ``rows`` rows, else unchanged."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
-def safe_eq(left: DataFrame, right: DataFrame, columns: Sequence[str]) -> Column:
-    return reduce(lambda a, b: a & b, [left[c].eqNullSafe(right[c]) for c in columns])
-
-
-def ranked(df: DataFrame, groups: Sequence[str], order: Sequence[str | Column], name: str) -> DataFrame:
-    """Add ``name``: 0, 1, 2 .. in each group by ``order``, without gathering a group in one task.
-
-    Rows that tie in every column of ``order`` are numbered in an arbitrary but
-    fixed order (the ranked rows are written once and read from there).  Keep
-    ``df`` narrow: all its columns travel.  An empty input gives an empty table.
-    """
-    spark = df.sparkSession
-    keys = [F.col(g) for g in groups] + [F.col(o) if isinstance(o, str) else o for o in order]
-    dealt = (
-        df.repartitionByRange(shuffle_width(spark), *keys)
-        .sortWithinPartitions(*keys)
-        .withColumn("_task", F.spark_partition_id())
-        .withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    )
-    rows = materialise(dealt, "ranked")
-    counts = rows.groupBy("_task", *groups).agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
-    before = Window.partitionBy(*groups).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
-    starts = materialise(
-        counts.select("_task", *groups, (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift")),
-        "starts",
-    )
-    return (
-        rows.join(small(starts, BROADCAST_ROWS), safe_eq(rows, starts, ["_task", *groups]))
-        .select(*[rows[c] for c in df.columns], (rows["_at"] + starts["_shift"]).alias(name))
-    )
-
+#: The white space of the contracts: space and U+0009 to U+000D.
+BLANK = " \t\n\x0b\x0c\r"
 
 def spaced(text: Column) -> Column:
     """``text`` with every blank of the contracts turned into a space; null gives ''."""
@@ -118,10 +28,6 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(spaced(text), " ", -1), "")
 
 
-def low_mask(bits: int) -> int:
-    return (1 << bits) - 1
-
-
 #: Texts that one call of a Python function sees; results leave the worker slice by slice.
 TEXTS = 256
 

@@ -97,3 +97,8 @@ def weights(spark: SparkSession, d: str) -> DataFrame:
         e.groupBy(named("P", F.col("partkey")).alias("node_id")).agg(F.sum("n_obs").alias("weight"))
     )
     return nodes(spark, d).join(sums, "node_id").select("node_id", "seq", "kind", "text", "acceleration_multiplier", "weight")
+
+
+def ready(node: DataFrame, least: int) -> bool:
+    """Whether the graph has ``least`` nodes or more; reads no more than that many."""
+    return node.limit(least).count() >= least

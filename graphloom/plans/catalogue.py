@@ -163,6 +163,18 @@ def hash_embedder(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", embedding.embed(F.col("text")).alias("vector"))
 
 
+def symbolic_step(spark: SparkSession, d: str) -> DataFrame:
+    """(subsystem, metric, value) of one step: entropy alerts, candidates, missing edges, ruptures."""
+    gaps = structure.phantom_gaps(graph.strong(spark, d))
+    parts = [
+        ("ext", "entropy_alerts", temporal.entropy_alerts(spark, d).filter("alert")),
+        ("dyn", "pre_breakthrough_candidates", temporal.pre_breakthrough(spark, d).filter("candidate")),
+        ("dyn", "total_virtual_nodes", gaps),
+        ("topo", "rupture_count", structure.rupture_nodes(gaps).filter("ruptured")),
+    ]
+    return union_signals([df.agg(F.count(F.lit(1)).alias("value")).select(F.lit(s).alias("subsystem"), F.lit(m).alias("metric"), "value") for s, m, df in parts])
+
+
 def _series(run):
     return lambda spark, d: run(folds.losses(spark, d))
 
@@ -219,6 +231,7 @@ QUERIES = {
     "report": report,
     "stream_daily": streams.daily,
     "stream_sessions": streams.sessions,
+    "symbolic_step": symbolic_step,
     "signals_union": signals_union,
     "isomorphism": isomorphism,
     "simultaneous_discovery": simultaneous_discovery,

@@ -264,3 +264,9 @@ SELECT nation, n_suppliers, coalesce(n, 0) AS n_links, round(2 * coalesce(n, 0)
   coalesce(round(2 * coalesce(n, 0) / CAST(nullif(n_suppliers * (n_suppliers - 1), 0) AS DOUBLE), 6) >= 0.25, FALSE) AS emerging FROM z LEFT JOIN l USING (nation)""",
     "void_pressure": f"""WITH {SUPPLY}, {GAPS} SELECT s, count(*) AS n_gaps, round(sum(1 - exp(-gap_score / CAST(10 AS DOUBLE))), 6) AS pressure FROM gaps GROUP BY 1""",
 }
+
+ORACLES["symbolic_step"] = f"""
+SELECT 'ext' AS subsystem, 'entropy_alerts' AS metric, count(*) AS value FROM ({ORACLES["entropy_alert"]}) WHERE alert
+UNION ALL SELECT 'dyn', 'pre_breakthrough_candidates', count(*) FROM ({ORACLES["pre_breakthrough"]}) WHERE candidate
+UNION ALL SELECT 'dyn', 'total_virtual_nodes', count(*) FROM (WITH {SUPPLY}, {GAPS} SELECT * FROM gaps)
+UNION ALL SELECT 'topo', 'rupture_count', count(*) FROM ({ORACLES["rupture_nodes"]}) WHERE ruptured"""

@@ -23,7 +23,14 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         moved = near.filter("b < a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
             least.filter("m < a").select("a", F.col("m").alias("b"))
         )
-    return moved.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    return moved.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+
+
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node hangs on one root: none has two parents, or a parent and a child."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))).alias("e"))
+    by = ends.groupBy("e.node").agg(F.sum("e.up").alias("up"), F.max("e.down").alias("down"))
+    return not by.filter("up > 1 OR (up > 0 AND down > 0)").limit(1).count()
 
 
 def components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
@@ -33,14 +40,10 @@ def components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
     grow with the logarithm of the longest chain.  No edges: no rows.
     """
     now = materialise(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    seen = None
     for _ in range(most_rounds):
-        # a finished forest hangs every node on its root: no node is both child and parent, and no child has two parents
-        check = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        if (check["n"], check["h"]) == seen or not check["n"]:
+        if _settled(now):
             break
-        seen = (check["n"], check["h"])
-        after = materialise(_star(_star(now, True), False), "edges")
+        after = materialise(_star(_star(now, True), False).distinct(), "edges")
         release(now)
         now = after
     else:

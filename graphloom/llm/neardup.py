@@ -13,11 +13,10 @@
 3. Skip merging: each posting list first meets one member only (a star), the
    one whose values are most frequent, which stands nearest to the text that
    all were copied from.  Confirmed links are contracted, and lists that lie
-   within one component are skipped.  Of an open list only members outside its
-   largest component are paired, and only with members of other components and
-   within an exact bound: a set whose ``u`` shingles no other set in question
-   has shares at most ``n - u`` with any of them.  So a list of thousands of
-   copies costs its length, not its square.
+   within one component are skipped.  Members of the lists that stay open are
+   joined by the rarest shingles of their full sets, in prefixes whose lengths
+   follow from both sizes, so no link between components is lost.  A list of
+   thousands of copies costs its length, not its square.
 4. Candidates with enough agreeing coordinates are confirmed on full sets.
 """
 
@@ -28,7 +27,7 @@ import functools
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import map_texts, materialise, table
+from graphloom.llm.common import map_texts, materialise, small, table
 from graphloom.llm.components import components
 
 SHINGLE = 5
@@ -218,40 +217,45 @@ def _stars(posted: DataFrame) -> DataFrame:
     return met.select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct()
 
 
-def _own_shingles(ids: DataFrame, docs: DataFrame) -> DataFrame:
-    """(rep, u): of each id in question, how many shingles no other id in question has.  Texts are filtered before they are read into sets."""
-    n = ids.limit(BROADCAST_IDS + 1).count()
-    read = docs.select("doc_id", "text").join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, "doc_id", "left_semi")
-    each = full_sets(read, listed=True).select("doc_id", F.explode("hashes").alias("x"))
-    alone = each.groupBy("x").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("other")).filter("rep = other")
-    return alone.groupBy("rep").agg(F.count(F.lit(1)).alias("u"))
+def _within_reach(r_a, n_a, r_b, n_b):
+    """Whether a shingle at rarity ranks r_a, r_b lies in both prefixes of sets of sizes n_a, n_b that could be linked.
 
-
-def _within(m, n_a, n_b):
-    """Whether sets of sizes n_a and n_b that share at most m elements can be linked."""
-    return m * 100 >= (n_a + n_b - m) * PERCENT
+    Linked sets share at least o = ceil(PERCENT (n_a + n_b) / (100 + PERCENT))
+    shingles, and then one of the first n - o + 1 of each in any common order.
+    """
+    o = F.ceil((n_a + n_b) * PERCENT / F.lit(100.0 + PERCENT) - 1e-9)
+    return (r_a <= n_a - o + 1) & (r_b <= n_b - o + 1)
 
 
 def _across(posted: DataFrame, found: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs of one open list, one of them outside its largest component, that are in different components and can be linked.
+    """Pairs of members of open lists that are in different components and can be linked by their full sets.
 
-    An id of several texts counts with its largest set and none of its shingles as its own.
+    A list is open if it has more than one component; a member outside its
+    list's largest one is a straggler, and one of each pair is.  Pairs come from
+    an exact prefix join: shingles of the open members in order of rarity, ranks
+    limited by both sizes.  Copies of one text that differ in many places share
+    only frequent shingles, which stand behind these prefixes.
     """
     labelled = posted.join(found, posted["rep"] == found["node"], "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
     per = labelled.groupBy("key", "component").agg(F.count(F.lit(1)).alias("k"))
     open_ = per.groupBy("key").agg(F.max_by("component", F.struct("k", "component")).alias("major"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-    rest = materialise(labelled.join(open_.select("key", "major"), "key"), "open-lists")
-    ids = materialise(rest.select(F.col("rep").alias("doc_id")).distinct(), "open-ids")
-    own = _own_shingles(ids, docs)
-    sizes = classes.groupBy("rep").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("texts"))
-    known = sizes.join(own, "rep", "left").select("rep", "n", F.when(F.col("texts") > 1, F.col("n")).otherwise(F.col("n") - F.coalesce("u", F.lit(0))).alias("m"))
-    rest = materialise(rest.join(known, "rep"), "open-lists")
-    least = rest.groupBy("key").agg(F.min("n").alias("n_min"))
-    one = rest.filter("component <> major").join(least, "key").filter(_within(F.col("m"), F.col("n"), F.greatest("m", "n_min")))
-    a = one.select("key", *[F.col(c).alias(f"{c}_a") for c in ("rep", "component", "n", "m")])
-    b = rest.select(F.col("key").alias("key_b"), *[F.col(c).alias(f"{c}_b") for c in ("rep", "component", "n", "m")])
-    apart = F.col("component_a") != F.col("component_b")
-    pairs = a.join(b, (F.col("key") == F.col("key_b")) & apart & _within(F.least("m_a", "m_b"), F.col("n_a"), F.col("n_b")))
+    rest = labelled.join(open_.select("key", "major"), "key")
+    members = rest.groupBy("rep").agg(F.min("component").alias("component"), F.max(F.col("component") != F.col("major")).alias("straggler"))
+    members = materialise(members, "open-members")
+    ids = members.select(F.col("rep").alias("doc_id"))
+    read = docs.select("doc_id", "text").join(small(ids, BROADCAST_IDS), "doc_id", "left_semi")
+    sets = materialise(full_sets(read, listed=True), "open-sets")
+    each = sets.select("doc_id", "h1", F.size("hashes").alias("n"), F.explode("hashes").alias("x"))
+    often = each.groupBy("x").agg(F.count(F.lit(1)).alias("c"))
+    rare = Window.partitionBy("doc_id", "h1").orderBy("c", "x")
+    ranks = each.join(often, "x").withColumn("r", F.dense_rank().over(rare))
+    longest = F.col("n") - F.ceil(F.col("n") * PERCENT / 100.0 - 1e-9) + 1
+    prefix = ranks.filter((F.col("c") > 1) & (F.col("r") <= longest)).join(members, F.col("doc_id") == F.col("rep"))
+    prefix = materialise(prefix.select("x", "rep", "n", "r", "component", "straggler"), "open-prefixes")
+    a = prefix.filter("straggler").select("x", *[F.col(c).alias(f"{c}_a") for c in ("rep", "n", "r", "component")])
+    b = prefix.select(F.col("x").alias("x_b"), *[F.col(c).alias(f"{c}_b") for c in ("rep", "n", "r", "component")])
+    reach = _within_reach(F.col("r_a"), F.col("n_a"), F.col("r_b"), F.col("n_b"))
+    pairs = a.join(b, (F.col("x") == F.col("x_b")) & (F.col("component_a") != F.col("component_b")) & reach)
     return pairs.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct()
 
 

@@ -84,10 +84,10 @@ def logit(p: Column) -> Column:
     return F.log(inside / (1 - inside))
 
 
-def _strength(means: DataFrame, prior: Column) -> Column:
+def _strength(prior: Column) -> Column:
     """Prior rows of a beta prior from moments: m(1-m) / between-site variance - 1, between 1 and 10000.
 
-    ``means`` has site mean ``m``, rows ``n`` and the mean's prior; the
+    An aggregate over sites (mean ``m``, rows ``n``, the mean's prior); the
     sampling variance m(1-m)/n is taken off the observed spread.
     """
     weight = F.sum("n")
@@ -106,14 +106,14 @@ def site_posteriors(scored: DataFrame) -> DataFrame:
     """
     paths = materialise(scored.groupBy("host", "path").agg(F.sum("p_doc").alias("path_sum"), F.count(F.lit(1)).alias("path_n")), "paths")
     hosts = paths.groupBy("host").agg(F.sum("path_sum").alias("host_sum"), F.sum("path_n").alias("host_n"))
-    every = hosts.agg((F.sum("host_sum") / F.sum("host_n")).alias("global"))
-    over_hosts = hosts.select((F.col("host_sum") / F.col("host_n")).alias("m"), F.col("host_n").alias("n")).join(F.broadcast(every)).agg(
-        F.first("global").alias("global"), _strength(hosts, F.col("global")).alias("host_strength")
-    )
+    rate = hosts.agg(F.sum("host_sum") / F.sum("host_n")).first()[0]
+    overall = F.lit(rate).cast("double")
+    by_host = hosts.select((F.col("host_sum") / F.col("host_n")).alias("m"), F.col("host_n").alias("n"))
+    host_strength = by_host.agg(_strength(overall)).first()[0]
     joined = paths.alias("p").join(hosts.alias("h"), F.col("p.host").eqNullSafe(F.col("h.host"))).select("p.*", "host_sum", "host_n")
     inside = joined.select((F.col("path_sum") / F.col("path_n")).alias("m"), F.col("path_n").alias("n"), (F.col("host_sum") / F.col("host_n")).alias("prior"))
-    over_paths = inside.agg(_strength(inside, F.col("prior")).alias("path_strength"))
-    return joined.join(F.broadcast(over_hosts)).join(F.broadcast(over_paths))
+    path_strength = inside.agg(_strength(F.col("prior"))).first()[0]
+    return joined.withColumns({"global": overall, "host_strength": F.lit(host_strength), "path_strength": F.lit(path_strength)})
 
 
 def combine(scored: DataFrame, sites: DataFrame) -> DataFrame:

@@ -153,7 +153,9 @@ def fit(measured: DataFrame, labels: DataFrame, stratum: str, risk: float = RISK
     binned = tried.groupBy("stratum", F.col("t.rule").alias("rule"), F.greatest(cells, F.lit(0)).alias("cell")).agg(
         F.sum(F.when(F.col("quality") == 1, 1).otherwise(0)).alias("good"), F.sum(F.when(F.col("quality") == 0, 1).otherwise(0)).alias("bad")
     )
+    binned = materialise(binned, "rule-cells")
     strata = binned.select("stratum", "rule").distinct()
+    n_tests = max(1, strata.count()) * len(GRID)
     grid = strata.select("stratum", "rule", F.explode(F.sequence(F.lit(0), F.lit(len(GRID) + 1))).alias("cell"))
     full = grid.alias("g").join(
         binned.alias("b"),
@@ -169,9 +171,8 @@ def fit(measured: DataFrame, labels: DataFrame, stratum: str, risk: float = RISK
         F.sum("good").over(each).alias("n_good"),
         F.sum("bad").over(each).alias("n_bad"),
     ).filter(F.col("cell").between(1, len(GRID)))
-    n_tests = strata.agg((F.count(F.lit(1)) * len(GRID)).alias("n_tests"))
-    bound = tests.select("stratum", "rule", "n_good").distinct().join(F.broadcast(n_tests))
-    bound = bound.select("stratum", "rule", allowed_rejections(F.col("n_good"), risk, F.lit(level) / F.col("n_tests")).alias("allowed"))
+    bound = tests.select("stratum", "rule", "n_good").distinct()
+    bound = bound.select("stratum", "rule", allowed_rejections(F.col("n_good"), risk, F.lit(level / n_tests)).alias("allowed"))
     passed = tests.alias("t").join(
         bound.alias("b"), F.col("t.stratum").eqNullSafe(F.col("b.stratum")) & (F.col("t.rule") == F.col("b.rule"))
     ).filter("t.good_out <= b.allowed")

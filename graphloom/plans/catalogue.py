@@ -42,10 +42,11 @@ def dangling_edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 def graph_size(spark: SparkSession, d: str) -> DataFrame:
-    n = graph.nodes(spark, d).agg(F.count(F.lit(1)).alias("n_nodes"))
     strong = ~F.col("is_containment") & (F.col("n_obs") >= graph.STRONG)
-    e = graph.edges(spark, d).agg(F.count(F.lit(1)).alias("n_edges"), F.count_if("is_containment").alias("n_containment"), F.count_if(strong).alias("n_strong"))
-    return n.join(F.broadcast(e))
+    flags = {"n_edges": F.lit(True), "n_containment": F.col("is_containment"), "n_strong": strong}
+    e = graph.edges(spark, d).select(F.lit(False).alias("n_nodes"), *[c.alias(n) for n, c in flags.items()])
+    n = graph.nodes(spark, d).select(F.lit(True).alias("n_nodes"), *[F.lit(False).alias(n) for n in flags])
+    return n.unionByName(e).agg(*[F.count_if(c).alias(c) for c in ("n_nodes", *flags)])
 
 
 def text_lookup(spark: SparkSession, d: str) -> DataFrame:

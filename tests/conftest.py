@@ -10,7 +10,7 @@ SF_DIR = os.environ.get("SMALL_SF_DIR", "/root/testdata/sf0.001")
 def spark(tmp_path_factory):
     shared = tmp_path_factory.mktemp("shared")
     session = (
-        SparkSession.builder.master("local[8]")
+        SparkSession.builder.master("local[4]")
         .appName("tests")
         .config("spark.driver.memory", "6g")
         .config("spark.ui.enabled", "false")

@@ -24,8 +24,6 @@ RISK = 0.01
 LEVEL = 0.05
 #: One good text lost outweighs this many bad ones caught.
 LOSS = 20.0
-#: At most so many labelled texts, those of least hash of doc_id, are held out (a row is a few numbers).
-HOLDOUT_ROWS = 200_000
 #: Candidate cutoffs of each rule; statistics are shares, so a fixed grid covers them.
 GRID = [round(x / 50, 2) for x in range(1, 50)]
 RULES = ("symbol_share", "repeat_share", "dup_line_share", "caps_share")
@@ -134,15 +132,10 @@ def fit(measured: DataFrame, labels: DataFrame, stratum: str, risk: float = RISK
     """One row a (stratum, rule) whose cutoff passed: the cutoff, and the holdout's counts behind it.
 
     ``labels`` has doc_id and quality (1 good, 0 bad); rows without a quality
-    are ignored, a document labelled twice counts twice.  The result has at
-    most strata x rules rows.
+    are ignored, a document labelled twice counts twice.  All labelled rows
+    count, in one grouped count.  The result has at most strata x rules rows.
     """
-    held = (
-        measured.filter(~base_failed())
-        .join(labels.filter("quality IS NOT NULL").select("doc_id", "quality"), "doc_id")
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(HOLDOUT_ROWS)
-    )
+    held = measured.filter(~base_failed()).join(labels.filter("quality IS NOT NULL").select("doc_id", "quality"), "doc_id")
     tried = held.select(
         F.col(stratum).alias("stratum"),
         "quality",

@@ -48,3 +48,13 @@ def test_empty_table_and_null_labels(spark):
     assert rules.judge(docs, labels).count() == 0
     one = spark.createDataFrame([(1, "a b", None)], "doc_id long, text string, lang string")
     assert [(r.base_failed, r.kept) for r in rules.judge(one, labels).collect()] == [(True, False)]
+
+
+def test_cutoffs_are_fitted_on_all_labelled_rows(spark):
+    measured = spark.range(250_000).select(
+        F.col("id").alias("doc_id"), F.lit("en").alias("lang"), F.lit(80).alias("n_words"), F.lit(0).alias("n_repeat_words"),
+        F.when(F.col("id") % 5 == 0, 0.5).otherwise(0.0).alias("symbol_share"), *[F.lit(0.0).alias(r) for r in rules.RULES[1:]],
+    )
+    labels = measured.select("doc_id", F.when(F.col("doc_id") % 5 == 0, 0).otherwise(1).alias("quality"))
+    found = rules.fit(measured, labels, "lang").collect()
+    assert [(r.rule, r.n_good, r.good_rejected, r.bad_rejected) for r in found] == [("symbol_share", 200_000, 0, 50_000)]

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import math
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators.ordering import ranked
@@ -27,38 +30,80 @@ def best_so_far(series: DataFrame) -> DataFrame:
     return series.select("epoch", "i", "loss", (F.col("loss") < F.coalesce(F.min("loss").over(before), F.lit(float("inf")))).alias("improved"))
 
 
-def _ordered(series: DataFrame, points: int | None) -> DataFrame:
-    kept = series if points is None else series.filter(F.col("i") < points)
-    sorted_ = F.array_sort(F.collect_list(F.struct("i", "loss")))
-    return kept.groupBy("epoch").agg(F.transform(sorted_, lambda x: x["loss"]).alias("xs"))
+#: Losses folded as one array; longer epochs are folded block by block.
+BLOCK = 4096
+
+
+def _first(series: DataFrame, points: int | None) -> DataFrame:
+    return series if points is None else series.filter(F.col("i") < points)
 
 
-def ema(series: DataFrame, decay: float, points: int | None = None) -> DataFrame:
+def ema(series: DataFrame, decay: float, points: int | None = None, block: int = BLOCK) -> DataFrame:
     """(epoch, n, ema): s = decay x s + (1 - decay) x loss, seeded by the first loss.
 
-    A fold needs its key's values in order in one row: keys are training epochs, bounded by design.
+    Every ``block`` losses are folded from 0 (the first block from its first
+    loss) to one number; an epoch's number is then s = decay^k x s + that of a
+    block of k losses.  So a row holds a block, or one number a block.  ``i`` counts an epoch's losses from 0.
     """
-    rest = F.slice("xs", F.lit(2), F.greatest(F.size("xs") - 1, F.lit(0)))
-    folded = F.aggregate(rest, F.col("xs")[0], lambda s, x: decay * s + (1 - decay) * x)
-    return _ordered(series, points).select("epoch", F.size("xs").alias("n"), F.round(folded, 6).alias("ema"))
+    values = F.transform(F.array_sort(F.collect_list(F.struct("i", "loss"))), lambda x: x["loss"])
+    cut = _first(series, points).withColumn("_block", F.floor(F.col("i") / block).cast("long"))
+    xs = cut.groupBy("epoch", "_block").agg(values.alias("xs"))
+    head = F.col("_block") == 0
+    rest = F.when(head, F.slice("xs", F.lit(2), F.greatest(F.size("xs") - 1, F.lit(0)))).otherwise(F.col("xs"))
+    folded = F.aggregate(rest, F.when(head, F.col("xs")[0]).otherwise(F.lit(0.0)), lambda s, x: decay * s + (1 - decay) * x)
+    parts = xs.select("epoch", "_block", F.size("xs").alias("_k"), folded.alias("_s"))
+    whole = parts.groupBy("epoch").agg(F.sum("_k").cast("int").alias("n"), F.array_sort(F.collect_list(F.struct("_block", "_k", "_s"))).alias("_parts"))
+    others = F.slice("_parts", F.lit(2), F.greatest(F.size("_parts") - 1, F.lit(0)))
+    total = F.aggregate(others, F.col("_parts")[0]["_s"], lambda s, p: F.pow(F.lit(float(decay)), p["_k"]) * s + p["_s"])
+    return whole.select("epoch", "n", F.round(total, 6).alias("ema"))
 
 
 def early_stop(series: DataFrame, patience: int, min_delta: float, points: int | None = None) -> DataFrame:
     """(epoch, stopped_at, best): first position whose counter reaches ``patience``; -1 if none or patience <= 0.
 
     A loss improves if it is below best - min_delta, and sets the counter to 0.
+    A counter may start anywhere, so the ordered rows are read one after the
+    other: of an epoch of any length only the best loss, the counter and the
+    position are held.
     """
-    start = F.struct(F.lit(float("inf")).alias("best"), F.lit(0).alias("bad"), F.lit(-1).alias("stop"), F.lit(0).alias("at"))
-
-    def step(s: Column, x: Column) -> Column:
-        better = x < s["best"] - min_delta
-        bad = F.when(better, 0).otherwise(s["bad"] + 1)
-        stop = F.when((bad >= patience) & F.lit(patience > 0), s["at"]).otherwise(F.lit(-1))
-        moved = F.struct(F.when(better, x).otherwise(s["best"]).alias("best"), bad.alias("bad"), stop.alias("stop"), (s["at"] + 1).alias("at"))
-        return F.when(s["stop"] >= 0, s).otherwise(moved)
-
-    end = F.aggregate("xs", start, step)
-    return _ordered(series, points).select("epoch", end["stop"].alias("stopped_at"), end["best"].alias("best"))
+    epoch = series.schema["epoch"].dataType.simpleString()
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        def flush():
+            made = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), (kind, pa.int32(), pa.float64()), strict=True)], names=["epoch", "stopped_at", "best"])
+            done.clear()
+            return made
+
+        done: list[tuple] = []
+        begun, key, kind = False, None, None
+        best, bad, stop, at = math.inf, 0, -1, 0
+        for batch in batches:
+            kind = batch.schema.field("epoch").type
+            for k, x in zip(batch.column("epoch").to_pylist(), batch.column("loss").to_pylist(), strict=True):
+                if not begun or k != key:
+                    if begun:
+                        done.append((key, stop, best))
+                    begun, key = True, k
+                    best, bad, stop, at = math.inf, 0, -1, 0
+                if stop >= 0:
+                    continue
+                if x is not None and x < best - min_delta:
+                    best, bad = x, 0
+                else:
+                    bad += 1
+                    if bad >= patience > 0:
+                        stop = at
+                at += 1
+            if done:
+                yield flush()
+        if begun:
+            done.append((key, stop, best))
+            yield flush()
+
+    rows = _first(series, points).select("epoch", "i", F.col("loss").cast("double").alias("loss"))
+    return rows.repartition("epoch").sortWithinPartitions("epoch", "i").mapInArrow(run, f"epoch {epoch}, stopped_at int, best double")
 
 
 def shuffled(df: DataFrame, key: str, seed: int) -> DataFrame:

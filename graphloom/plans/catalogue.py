@@ -222,8 +222,8 @@ QUERIES = {
     "hash_embedder": hash_embedder,
     "rolling_loss": _series(folds.rolling),
     "best_so_far": _series(folds.best_so_far),
-    "ema_series": _series(lambda s: folds.ema(s, 0.9, 200)),
-    "early_stopping": _series(lambda s: folds.early_stop(s, 10, 1e-5, 200)),
+    "ema_series": _series(lambda s: folds.ema(s, 0.9)),
+    "early_stopping": _series(lambda s: folds.early_stop(s, 10, 1e-5)),
     "lr_schedule": lr_schedule,
     "batch_means": _series(folds.batch_means),
     "checkpoint_retention": checkpoint_retention,

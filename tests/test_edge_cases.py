@@ -137,3 +137,23 @@ def test_partitions_do_not_change_results(spark, sf_dir):
 def test_union_fills_missing_columns(spark):
     both = tables.union_signals([spark.createDataFrame([(1, "x")], "a int, b string"), spark.createDataFrame([(2,)], "a int")])
     assert sorted((r.a, r.b) for r in both.collect() if r.b) == [(1, "x")] and both.count() == 2
+
+
+def test_registered_folds_read_long_series_whole(spark, tmp_path):
+    from graphloom.plans.catalogue import QUERIES
+
+    # user 1: 9,000 losses that fall for 6,000 steps and then stay; user 2: rising ever after its first
+    value = {1: lambda i: 7000.0 - min(i, 6000) + i % 3 * 1e-7, 2: lambda i: 1.0 + i}
+    rows = [(u * 100_000 + i, i, u, value[u](i)) for u, n in ((1, 9000), (2, 30)) for i in range(n)]
+    events = spark.createDataFrame(rows, "event_id long, s long, user_id long, value double").select("event_id", F.timestamp_seconds("s").alias("ts"), "user_id", "value")
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    smooth = {}
+    for u, n in ((1, 9000), (2, 30)):
+        s = value[u](0)
+        for i in range(1, n):
+            s = 0.9 * s + (1 - 0.9) * value[u](i)
+        smooth[u] = (n, round(s, 6))
+    got = {r.epoch: (r.n, r.ema) for r in QUERIES["ema_series"](spark, str(tmp_path)).collect()}
+    assert got == {u: (n, pytest.approx(s, abs=2e-6)) for u, (n, s) in smooth.items()}
+    stops = {r.epoch: (r.stopped_at, r.best) for r in QUERIES["early_stopping"](spark, str(tmp_path)).collect()}
+    assert stops == {1: (6010, 1000.0), 2: (10, 1.0)}

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from graphloom.operators.ordering import ranked, shuffle_width, small
+from graphloom.sources.shared import materialise
 from graphloom.sources.tables import table
 
 
@@ -30,6 +32,38 @@ def cooccurrence(docs: DataFrame, df_low: int = 5, df_high: int = 20, per_doc: i
     return pairs.groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
 
 
+#: Tokens of a document in one block; two blocks make at most the square of it in pairs, in one row.
+BLOCK = 1_000
+#: Token names are broadcast up to so many (about 60 bytes each).
+NAMES = 500_000
+
+
+def all_cooccurrence(docs: DataFrame, least: int = 3, block: int = BLOCK) -> DataFrame:
+    """(a, b, n): all pairs a < b of tokens that stand together in ``least`` documents or more, without a bound on tokens.
+
+    A token of fewer than ``least`` documents is in no such pair, so leaving it
+    out loses nothing.  Tokens are numbered in their order and a document's
+    numbers cut into blocks; every two blocks of a document are one row, dealt
+    evenly, so a long document is not one task.  Pairs are counted as one
+    long each.  Rows of one doc_id are one document, rows without are none.
+    """
+    tokens = concepts(docs.filter("doc_id IS NOT NULL"))
+    often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") >= least).select("token")
+    named = materialise(ranked(often, [], ["token"], "id"), "token-ids")
+    names = small(named, NAMES)
+    listed = tokens.join(names, "token").groupBy("doc_id").agg(F.array_sort(F.collect_set("id")).alias("ids"))
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size("ids") - 1) / block).cast("int")), lambda i: F.slice("ids", i * block + 1, F.lit(block)))
+    two = lambda x, i: F.transform(F.slice("bs", i + 1, F.size("bs")), lambda y, j: F.struct(x.alias("x"), y.alias("y"), (j == 0).alias("same")))
+    blocks = listed.select(cut.alias("bs")).select(F.explode(F.flatten(F.transform("bs", two))).alias("t")).select("t.*")
+    dealt = blocks.repartition(shuffle_width(docs.sparkSession))
+    partners = lambda i: F.when(F.col("same"), F.slice("y", i + 2, F.size("y"))).otherwise(F.col("y"))
+    packed = F.transform("x", lambda a, i: F.transform(partners(i), lambda b: F.shiftleft(a, 32).bitwiseOR(b)))
+    counted = dealt.select(F.explode(F.flatten(packed)).alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
+    ids = counted.select(F.shiftright("p", 32).alias("_a"), F.col("p").bitwiseAND(F.lit((1 << 32) - 1)).alias("_b"), "n")
+    first, second = (names.select(F.col("id").alias(f"_{c}"), F.col("token").alias(c)) for c in "ab")
+    return ids.join(first, "_a").join(second, "_b").select("a", "b", "n")
+
+
 def consolidate(spark: SparkSession, d: str) -> DataFrame:
     """(source, n_docs, mass, mean_chars): credibility-weighted mean length a source.
 

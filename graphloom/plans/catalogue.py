@@ -204,6 +204,7 @@ QUERIES = {
     "cross_domain_bridges": structure.bridges,
     "bottleneck_missing": structure.bottlenecks,
     "cooccurrence": lambda spark, d: text.cooccurrence(table(spark, d, "documents")),
+    "cooccurrence_all": lambda spark, d: text.all_cooccurrence(table(spark, d, "documents")),
     "credibility_consolidate": text.consolidate,
     "canonical_ids": text.canonical_ids,
     "orphan_clusters": text.orphan_clusters,

@@ -157,3 +157,21 @@ def test_registered_folds_read_long_series_whole(spark, tmp_path):
     assert got == {u: (n, pytest.approx(s, abs=2e-6)) for u, (n, s) in smooth.items()}
     stops = {r.epoch: (r.stopped_at, r.best) for r in QUERIES["early_stopping"](spark, str(tmp_path)).collect()}
     assert stops == {1: (6010, 1000.0), 2: (10, 1.0)}
+
+
+def test_cooccurrence_counts_frequent_tokens_and_long_documents(spark, tmp_path):
+    from collections import Counter
+    from itertools import combinations
+
+    from graphloom.operators import text
+    from graphloom.plans.catalogue import QUERIES
+
+    word = lambda i: "".join("abcdefghij"[int(c)] for c in f"{i:04d}")
+    # 40 documents of up to 150 tokens: frequencies from 1 to 40, more than 100 tokens a document
+    docs = [(i, " ".join(word(j) for j in range(150) if j % (i % 5 + 1) == 0 or j % 40 == i)) for i in range(40)]
+    seen = Counter(p for _, t in docs for p in combinations(sorted(set(t.split())), 2))
+    want = sorted((a, b, n) for (a, b), n in seen.items() if n >= 3)
+    frame = spark.createDataFrame([*docs, (41, None), (42, ""), (43, "abc d")], "doc_id long, text string")
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(map(tuple, QUERIES["cooccurrence_all"](spark, str(tmp_path)).collect())) == want
+    assert sorted(map(tuple, text.all_cooccurrence(frame.unionByName(frame), block=7).collect())) == want

@@ -219,6 +219,7 @@ QUERIES = {
     "retrospective_miss": lambda spark, d: temporal.retrospective(temporal.time_warp(spark, d)),
     "what_if": temporal.what_if,
     "vector_neighbours": vectors.neighbours,
+    "vector_search": vectors.search,
     "hash_embedder_seed": lambda spark, d: table(spark, d, "documents").select("doc_id", scalars.md5_seed(F.col("text")).alias("seed")),
     "hash_embedder": hash_embedder,
     "rolling_loss": _series(folds.rolling),

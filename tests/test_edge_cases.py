@@ -175,3 +175,18 @@ def test_cooccurrence_counts_frequent_tokens_and_long_documents(spark, tmp_path)
     frame.write.parquet(f"{tmp_path}/documents.parquet")
     assert sorted(map(tuple, QUERIES["cooccurrence_all"](spark, str(tmp_path)).collect())) == want
     assert sorted(map(tuple, text.all_cooccurrence(frame.unionByName(frame), block=7).collect())) == want
+
+
+def test_search_takes_every_twentieth_vector_as_query(spark, tmp_path):
+    from graphloom.operators import vectors
+    from graphloom.plans.catalogue import QUERIES
+
+    x = np.random.default_rng(1).normal(size=(2_300, 8)).astype("f4")
+    x[100:160] = x[0]
+    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(None, [0.0] * 8)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    near = np.round(x.astype("f8") @ x.astype("f8").T, 6)
+    want = sorted((q, v, r + 1) for q in range(0, 2_300, 20) for r, v in enumerate(sorted((v for v in range(2_300) if v != q), key=lambda v: (-near[q, v], v))[:5]))
+    got = QUERIES["vector_search"](spark, str(tmp_path)).collect()
+    assert sorted((r.query_id, r.vec_id, r["rank"]) for r in got) == want
+    assert all(r.similarity == pytest.approx(near[r.query_id, r.vec_id], abs=2e-6) for r in got)
+    assert sorted((r.query_id, r.vec_id, r["rank"]) for r in vectors.search(spark, str(tmp_path), block=17).collect()) == want

@@ -13,14 +13,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import map_texts, table
+from graphloom.llm.common import map_texts, materialise, table
 from graphloom.llm.labelled import held_out
 
 #: A dictionary holds at most so many bytes, drawn from about so many documents, of each so many characters at most.
+#: Beyond LANGUAGES languages both shrink in proportion, so that all dictionaries together stay as large as LANGUAGES full ones.
 DICTIONARY_BYTES = 256 << 10
 SAMPLE_DOCS = 250
 SAMPLE_CHARS = 2_000
-#: At most so many languages (the most frequent) are learned; the whole training sample is then below 100 MB.
 LANGUAGES = 64
 LEVEL = 9
 #: Below this relative margin a prediction counts as rejected.
@@ -38,23 +38,30 @@ def normalised(text: str) -> str:
 def train(docs: DataFrame) -> dict[str, bytes]:
     """Dictionary of each language, from documents that are not held out (columns doc_id, text, lang).
 
-    A language's documents are drawn by a hash below a share of its count, so
-    the draw is one filter, stable between runs and no larger for a language
-    that holds most rows.
+    Every language is learned.  A language's documents are drawn by a hash
+    below a share of its number of doc_ids, so the draw is one filter, stable
+    between runs and no larger for a language that holds most rows; of repeated
+    rows of a doc_id in a language the least text counts.
     """
     able = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = able.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32))
+    ids = able.select("lang", "doc_id").distinct()
+    # a small share can draw nothing by chance: the first doc_id of each language is always in it
+    counts = materialise(ids.groupBy("lang").agg(F.count(F.lit(1)).alias("count"), F.min(place).alias("first")), "languages")
+    full = max(1.0, counts.count() / LANGUAGES)
+    wanted, size = max(1, int(SAMPLE_DOCS / full)), max(1, int(DICTIONARY_BYTES / full))
     drawn = (
         able.select("doc_id", "lang", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
         .join(F.broadcast(counts), "lang")
-        .filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) * F.col("count") < F.lit(float(SAMPLE_DOCS << 32)))
+        .filter((place * F.col("count") < F.lit(float(wanted << 32))) | (place == F.col("first")))
+        .groupBy("lang", "doc_id")
+        .agg(F.min("text").alias("text"))
         .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(2 * LANGUAGES * SAMPLE_DOCS)
     )
     parts: dict[str, list[bytes]] = {}
     for row in drawn.collect():
         parts.setdefault(row["lang"], []).append(normalised(row["text"]).encode())
-    return {lang: b" ".join(texts)[:DICTIONARY_BYTES] for lang, texts in sorted(parts.items())}
+    return {lang: b" ".join(texts)[:size] for lang, texts in sorted(parts.items())}
 
 
 class Classifier:
@@ -89,7 +96,7 @@ _classifiers: dict[str, Classifier] = {}
 def identify(df: DataFrame, dictionaries: dict[str, bytes], carry: list[str]) -> DataFrame:
     """Columns ``carry`` with lang_pred, score, margin and rejected (margin below MARGIN) of the whole text.
 
-    Row-local.  The dictionaries (LANGUAGES x DICTIONARY_BYTES at most) travel
+    Row-local.  The dictionaries (about LANGUAGES x DICTIONARY_BYTES at most) travel
     as a broadcast variable and are indexed once a worker process.
     """
     shared = df.sparkSession.sparkContext.broadcast(dictionaries)

@@ -84,6 +84,24 @@ def test_language_on_held_out_documents(spark, tables):
     assert sum(found[r.doc_id] == r.lang for r in held) / len(held) > 0.9
 
 
+def test_every_language_is_learned(spark):
+    words = lambda lang: " ".join(f"{chr(97 + lang % 26)}{chr(97 + lang // 26)}{chr(97 + j % 26)}{chr(97 + j % 7)}" for j in range(60))
+    # 70 languages, the last of which has fewest rows
+    rows = [(i, words(i % 70 if i < 700 else i % 69), f"l{i % 70 if i < 700 else i % 69:02d}") for i in range(1400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    dictionaries = language.train(docs)
+    assert list(dictionaries) == [f"l{i:02d}" for i in range(70)]
+    assert sum(map(len, dictionaries.values())) <= language.LANGUAGES * language.DICTIONARY_BYTES
+    last = docs.filter("lang = 'l69'")
+    assert {r.lang_pred for r in language.identify(last, dictionaries, ["doc_id"]).collect()} == {"l69"}
+    # one doc_id of least hash repeated beyond every bound leaves room for the others
+    place = F.pmod(F.xxhash64("id"), F.lit(1 << 32))
+    least = spark.range(5_000, 9_000).filter(F.crc32(F.col("id").cast("string").cast("binary")) % 5 != 0).orderBy(place).first()["id"]
+    hot = spark.range(40_000).select(F.lit(least).alias("doc_id"), F.lit("hot words of one document").alias("text"), F.lit("hot").alias("lang"))
+    two = language.train(hot.unionByName(docs.filter("lang = 'l01'")))
+    assert list(two) == ["hot", "l01"] and two["hot"] == b"hot words of one document"
+
+
 def test_language_odd_rows(spark, tables, odd):
     docs, _ = tables
     dictionaries = language.train(docs)

@@ -53,30 +53,37 @@ def single_spaced(text: str) -> bool:
 
 
 class Encoder:
-    """Whole-text ids as little-endian uint32 bytes, equal to those of the tokenizer file without added special tokens.
+    """Whole-text ids as little-endian uint32 bytes, equal to those of the tokenizer file; none are put around a text.
 
     The file's vocabulary lists merges in order of id, so its tokens' bytes
-    ranked by id are the whole model.  Strings of special tokens are ordinary text.
+    ranked by id are the whole model.  Strings of special tokens in a text are
+    those tokens if ``added`` (the tokenizer's default), else ordinary text.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, added: bool = False) -> None:
         import json
 
         import tiktoken
 
         with open(path, encoding="utf-8") as file:
             model = json.load(file)
-        special = {t["id"] for t in model.get("added_tokens", []) if t.get("special")}
+        named = {t["content"]: t["id"] for t in model.get("added_tokens", []) if t.get("special")}
+        special = set(named.values())
+        self.named = named if added else {}
         letters = byte_letters()
         ranks = {bytes(map(letters.__getitem__, t)): i for t, i in model["model"]["vocab"].items() if i not in special}
         self.full, self.single = (
-            tiktoken.Encoding(name, pat_str=pattern, mergeable_ranks=ranks, special_tokens={}) for name, pattern in (("full", SPLIT), ("single", SPLIT_SINGLE))
+            tiktoken.Encoding(name, pat_str=pattern, mergeable_ranks=ranks, special_tokens=self.named) for name, pattern in (("full", SPLIT), ("single", SPLIT_SINGLE))
         )
 
     def encode(self, texts: list[str]) -> list[bytes]:
         from array import array
 
-        ids = [(self.single if single_spaced(t) else self.full).encode_ordinary(t) for t in texts]
+        def one(t: str) -> list[int]:
+            engine = self.single if single_spaced(t) else self.full
+            return engine.encode(t, allowed_special="all") if any(n in t for n in self.named) else engine.encode_ordinary(t)
+
+        ids = [one(t) for t in texts]
         out = [array("I", i) for i in ids]
         if sys.byteorder == "big":
             for a in out:
@@ -84,31 +91,32 @@ class Encoder:
         return [a.tobytes() for a in out]
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str | None) -> Encoder:
+def encoder(path: str | None, added: bool = False) -> Encoder:
     """One encoder a worker process and file; None: the public vocabulary ``TOKENIZER``."""
     if path is None:
         import public_tokenizers
 
         path = public_tokenizers.path(TOKENIZER)
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    if (path, added) not in _encoders:
+        _encoders[path, added] = Encoder(path, added)
+    return _encoders[path, added]
 
 
-def pack(df: DataFrame, tokenizer: str | None = None, most: int = MOST, end: int = END) -> DataFrame:
+def pack(df: DataFrame, tokenizer: str | None = None, most: int = MOST, end: int = END, added: bool = False) -> DataFrame:
     """Pieces (doc_id, start, length, ids, doc_tokens) of every row's text; ``ids`` are little-endian uint32 bytes.
 
     Null or empty text is the end id alone.  Row-local: no shuffle, memory in
-    proportion to SLICE texts.  A repeated row yields its pieces again.
+    proportion to SLICE texts.  A repeated row yields its pieces again.  With
+    ``added``, strings of special tokens are those tokens.
     """
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, added)
         closing = int(end).to_bytes(4, "little")
         schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64())])
         for batch in batches:
@@ -137,7 +145,7 @@ def number(pieces: DataFrame) -> DataFrame:
 
 def digest(docs: DataFrame) -> DataFrame:
     """The numbered pieces with a CRC in place of their ids, so that only numbers are shuffled."""
-    pieces = pack(docs).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
+    pieces = pack(docs, added=True).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
     return number(pieces).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 

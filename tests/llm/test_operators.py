@@ -175,6 +175,25 @@ def test_pack_equals_the_tokenizer(spark, tables, odd):
         assert all(n & (n - 1) == 0 and n <= 1024 for _, n, _, _ in got)
 
 
+def test_op7_equals_the_tokenizer_as_it_is(spark, tmp_path):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
+    end = "<|endoftext|>"
+    texts = [f"x {end} y", end, end * 3, f"a  {end}  b", f" {end}\n", f"a{end}b {end[:-1]}", "plain text", f"x \n {end} {end}c  d", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.doc_id, r.start, r.length): (r.ids_crc32, r.doc_tokens) for r in packing.op7_packing(spark, str(tmp_path)).collect()}
+    want = {}
+    for i, t in enumerate(texts):
+        ids = np.array(tok.encode(t or "", add_special_tokens=False).ids + [0], "<u4")
+        start = 0
+        for n in packing.piece_lengths(len(ids)):
+            want[i, start, n] = (zlib.crc32(ids[start : start + n].tobytes()), len(ids))
+            start += n
+    assert got == want
+
+
 def test_numbered_sequences_have_no_gaps(spark, odd):
     got = packing.digest(odd).collect()
     assert sorted(r.sequence_id for r in got) == list(range(len(got))) and {r.offset for r in got} == {0}

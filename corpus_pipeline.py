@@ -57,8 +57,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Numbered power-of-two sequences of all copies (a copy's pieces follow each other by start)."""
-    return packing.digest(docs)
+    """Numbered power-of-two sequences of all copies with their token ids (a copy's pieces follow each other by start)."""
+    return packing.sequences(docs)
 
 
 STAGES = [

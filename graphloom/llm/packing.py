@@ -14,7 +14,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import ranked, table
+from graphloom.llm.common import materialise, ranked, table
 
 MOST = 1024
 END = 0
@@ -105,12 +105,13 @@ def encoder(path: str | None, added: bool = False) -> Encoder:
     return _encoders[path, added]
 
 
-def pack(df: DataFrame, tokenizer: str | None = None, most: int = MOST, end: int = END, added: bool = False) -> DataFrame:
+def pack(df: DataFrame, tokenizer: str | None = None, most: int = MOST, end: int = END, added: bool = False, copies: bool = False) -> DataFrame:
     """Pieces (doc_id, start, length, ids, doc_tokens) of every row's text; ``ids`` are little-endian uint32 bytes.
 
     Null or empty text is the end id alone.  Row-local: no shuffle, memory in
     proportion to SLICE texts.  A repeated row yields its pieces again.  With
-    ``added``, strings of special tokens are those tokens.
+    ``added``, strings of special tokens are those tokens; with ``copies``, a
+    column ``copy`` tells rows apart (write the pieces before they are read twice).
     """
 
     def run(batches: Iterator) -> Iterator:
@@ -119,22 +120,25 @@ def pack(df: DataFrame, tokenizer: str | None = None, most: int = MOST, end: int
         enc = encoder(tokenizer, added)
         closing = int(end).to_bytes(4, "little")
         schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64())])
+        schema = schema.append(pa.field("copy", pa.int64())) if copies else schema
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
                 rows: list[tuple] = []
                 encoded = enc.encode([t or "" for t in part.column(1).to_pylist()])
-                for doc, ids in zip(part.column(0).to_pylist(), encoded, strict=True):
+                own = part.column(2).to_pylist() if copies else [None] * part.num_rows
+                for doc, ids, copy in zip(part.column(0).to_pylist(), encoded, own, strict=True):
                     data = ids + closing
                     start, n = 0, len(data) // 4
                     for length in piece_lengths(n, most):
-                        rows.append((doc, start, length, data[4 * start : 4 * (start + length)], n))
+                        rows.append((doc, start, length, data[4 * start : 4 * (start + length)], n, *([copy] if copies else [])))
                         start += length
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema
                 )
 
-    return df.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, PIECES)
+    row = [F.monotonically_increasing_id().alias("copy")] if copies else []
+    return df.select(F.col("doc_id").cast("bigint"), "text", *row).mapInArrow(run, PIECES + (", copy bigint" if copies else ""))
 
 
 def number(pieces: DataFrame) -> DataFrame:
@@ -149,6 +153,18 @@ def digest(docs: DataFrame) -> DataFrame:
     return number(pieces).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def sequences(docs: DataFrame) -> DataFrame:
+    """The numbered pieces with their ids, their CRC and ``copy``, which tells rows of one doc_id apart.
+
+    Pieces are written once; only numbers are ordered, and meet the ids again by
+    (copy, start), which names a piece.
+    """
+    pieces = materialise(pack(docs, added=True, copies=True).withColumn("ids_crc32", F.crc32("ids")), "pieces")
+    numbered = number(pieces.select("copy", "doc_id", "start", "length")).select("copy", "start", "sequence_id", "offset")
+    columns = ["doc_id", "copy", "start", "length", "ids", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    return pieces.join(numbered, ["copy", "start"]).select(*columns)
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed.  An empty table gives no rows."""
     return digest(table(spark, sf_dir, "documents"))

@@ -1,4 +1,7 @@
+import zlib
+
 import corpus_pipeline as cp
+from graphloom.llm import packing
 from graphloom.llm.common import materialise
 from tests.llm.brute import WORD, components, rule_counts
 
@@ -44,3 +47,18 @@ def test_nothing_in_nothing_out(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{d}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
     assert cp.run(spark, d).count() == 0
+
+
+def test_packed_sequences_hold_their_tokens(spark):
+    docs = spark.createDataFrame([(1, "one two three " * 300), (2, "x <|endoftext|> y"), (2, "x <|endoftext|> y"), (3, None)], "doc_id long, text string")
+    rows = cp.pack_sequences(spark, docs, "").collect()
+    assert sorted(r.sequence_id for r in rows) == list(range(len(rows)))
+    assert [r.length for r in sorted(rows, key=lambda r: r.sequence_id)] == sorted((r.length for r in rows), reverse=True)
+    copies = {}
+    for r in sorted(rows, key=lambda r: r.start):
+        assert zlib.crc32(bytes(r.ids)) == r.ids_crc32 and len(r.ids) == 4 * r.length
+        copies.setdefault((r.doc_id, r["copy"]), bytearray()).extend(r.ids)
+    assert sorted(i for i, _ in copies) == [1, 2, 2, 3]
+    for (i, _), ids in copies.items():
+        text = {r.doc_id: r.text for r in docs.collect()}[i]
+        assert bytes(ids) == packing.encoder(None, added=True).encode([text or ""])[0] + bytes(4)

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.sources.shared import materialise
+from graphloom.sources.shared import materialise, release
 
 #: ``ranked`` broadcasts its table of offsets up to this many rows (about 100 bytes each).
 BROADCAST_ROWS = 100_000
@@ -31,29 +31,46 @@ def safe_eq(left: DataFrame, right: DataFrame, columns: Sequence[str]) -> Column
     return reduce(lambda a, b: a & b, [left[c].eqNullSafe(right[c]) for c in columns])
 
 
+def unused(columns: Sequence[str], *names: str) -> list[str]:
+    """``names``, each with as many underscores before it as it needs to be no name of ``columns`` (in any case)."""
+    taken = {c.lower() for c in columns}
+    found = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
 def ranked(df: DataFrame, groups: Sequence[str], order: Sequence[str | Column], name: str) -> DataFrame:
     """Add ``name``: 0, 1, 2 .. in each group by ``order``, without gathering a group in one task.
 
-    Rows that tie in every column of ``order`` are numbered in an arbitrary but
-    fixed order (the ranked rows are written once and read from there).  Keep
-    ``df`` narrow: all its columns travel.  An empty input gives an empty table.
+    A range exchange reads its input twice, once for a sample, so ``df`` is
+    written first, if it is not a written table already.  Rows that tie in every
+    column of ``order`` are numbered in an arbitrary but fixed order (the ranked
+    rows are written once and read from there).  Keep ``df`` narrow: all its
+    columns travel; they may have any names.  An empty input gives an empty table.
     """
     spark = df.sparkSession
+    task, at, n, first, shift = unused([*df.columns, name], "_task", "_at", "_n", "_first", "_shift")
     keys = [F.col(g) for g in groups] + [F.col(o) if isinstance(o, str) else o for o in order]
+    once = df if hasattr(df, "graphloom_path") else materialise(df, "unranked")
     dealt = (
-        df.repartitionByRange(shuffle_width(spark), *keys)
+        once.repartitionByRange(shuffle_width(spark), *keys)
         .sortWithinPartitions(*keys)
-        .withColumn("_task", F.spark_partition_id())
-        .withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+        .withColumn(task, F.spark_partition_id())
+        .withColumn(at, F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
     )
     rows = materialise(dealt, "ranked")
-    counts = rows.groupBy("_task", *groups).agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
-    before = Window.partitionBy(*groups).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    if once is not df:
+        release(once)
+    counts = rows.groupBy(task, *groups).agg(F.count(F.lit(1)).alias(n), F.min(at).alias(first))
+    before = Window.partitionBy(*groups).orderBy(task).rowsBetween(Window.unboundedPreceding, -1)
     starts = materialise(
-        counts.select("_task", *groups, (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift")),
-        "starts",
+        counts.select(task, *groups, (F.coalesce(F.sum(n).over(before), F.lit(0)) - F.col(first)).alias(shift)), "starts"
     )
     return (
-        rows.join(small(starts, BROADCAST_ROWS), safe_eq(rows, starts, ["_task", *groups]))
-        .select(*[rows[c] for c in df.columns], (rows["_at"] + starts["_shift"]).alias(name))
+        rows.join(small(starts, BROADCAST_ROWS), safe_eq(rows, starts, [task, *groups]))
+        .select(*[rows[c] for c in df.columns], (rows[at] + starts[shift]).alias(name))
     )

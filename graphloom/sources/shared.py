@@ -3,16 +3,24 @@
 ``materialise`` writes a Parquet table below the folder that
 ``spark.checkpoint.dir`` names, so a lost executor re-reads instead of
 recomputing, and a plan that needs a table twice sees the same rows twice.
+What is written is remembered: ``scratch`` drops what a block wrote and did not
+keep, ``sweep`` all that is left, and so does the end of the process.
 """
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager, suppress
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Paths that this process gave out and has not dropped, in order.
+_written: list[str] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share; a temporary one is set only where a local session names none."""
@@ -27,13 +35,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/graphloom/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/graphloom/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
     """Remove a table that ``materialise`` wrote and that nothing reads any more."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+    if path in _written:
+        _written.remove(path)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -46,5 +58,42 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def release(df: DataFrame) -> None:
-    drop_path(df.sparkSession, df.graphloom_path)
+def release(*tables: DataFrame) -> None:
+    for df in tables:
+        drop_path(df.sparkSession, df.graphloom_path)
+
+
+class Scratch:
+    """The tables of one block that outlive it."""
+
+    def __init__(self) -> None:
+        self.kept: set[str] = set()
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.kept.add(df.graphloom_path)
+        return df
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Scratch]:
+    """Drop all tables that the block writes, but those it keeps: whatever is read after it must be kept."""
+    before, scope = set(_written), Scratch()
+    try:
+        yield scope
+    finally:
+        for path in [p for p in _written if p not in before and p not in scope.kept]:
+            drop_path(spark, path)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Drop every table that this process has written; results that are still lazy can no longer be read."""
+    for path in list(_written):
+        drop_path(spark, path)
+
+
+@atexit.register
+def _at_exit() -> None:
+    with suppress(Exception):  # the JVM may have gone before
+        spark = SparkSession.getActiveSession() if _written else None
+        if spark is not None:
+            sweep(spark)

@@ -103,24 +103,33 @@ def isotonic(raw: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Calibrated:
     """Trees on all rows, calibrated on predictions that each row's own trees have not seen."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray) -> None:
-        """Few rows or one class: a constant (the base rate, 0.5 without rows)."""
+    def __init__(self, x: np.ndarray, y: np.ndarray, fold: np.ndarray | None = None, views: list[np.ndarray] | None = None) -> None:
+        """Few rows or one class: a constant (the base rate, 0.5 without rows).
+
+        ``fold`` numbers the rows' folds; ``views[k]`` has the features as they
+        are when nothing was learned from fold k (without views: x).  ``unseen``
+        holds the calibrated predictions of the rows as unseen ones.
+        """
         self.trees, self.constant = None, float((y.sum() + 0.5) / (len(y) + 1))
-        if min(y.sum(), len(y) - y.sum()) < 2 * FOLDS:
+        self.unseen = np.full(len(y), self.constant)
+        fold = np.arange(len(y)) % FOLDS if fold is None else fold
+        held = [fold == k for k in range(FOLDS)]
+        if min(y.sum(), len(y) - y.sum()) < 2 * FOLDS or not all(h.any() and len(np.unique(y[~h])) > 1 for h in held):
             return
-        fold = np.arange(len(y)) % FOLDS
         raw = np.zeros(len(y))
-        for k in range(FOLDS):
-            raw[fold == k] = fit_trees(x[fold != k], y[fold != k]).raw(x[fold == k])
+        for k, h in enumerate(held):
+            seen = x if views is None else views[k]
+            raw[h] = fit_trees(seen[~h], y[~h]).raw(seen[h])
         self.knots = isotonic(raw, y)
         self.trees = fit_trees(x, y)
+        self.unseen = self._calibrated(raw)
 
     def raw(self, x: np.ndarray) -> np.ndarray:
         return self.trees.raw(x) if self.trees else np.full(len(x), np.log(self.constant / (1 - self.constant)))
 
+    def _calibrated(self, raw: np.ndarray) -> np.ndarray:
+        return 0.999 * np.interp(raw, *self.knots) + 0.001 * sigmoid(raw)
+
     def probability(self, x: np.ndarray) -> np.ndarray:
         """Monotone in the raw score; a thousandth of the uncalibrated score keeps order within a plateau."""
-        if self.trees is None:
-            return np.full(len(x), self.constant)
-        raw = self.raw(x)
-        return 0.999 * np.interp(raw, *self.knots) + 0.001 * sigmoid(raw)
+        return np.full(len(x), self.constant) if self.trees is None else self._calibrated(self.raw(x))

@@ -9,11 +9,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.operators.ordering import ranked, shuffle_width, small
-from graphloom.sources.shared import fresh_path, materialise, release
+from graphloom.operators.ordering import BROADCAST_ROWS, ranked, shuffle_width, small, unused
+from graphloom.sources.shared import fresh_path, materialise, release, scratch
 from graphloom.sources.tables import table
 
-__all__ = ["fresh_path", "map_texts", "materialise", "ranked", "release", "shuffle_width", "small", "spaced", "table", "words"]
+__all__ = [
+    "BROADCAST_ROWS", "content", "fresh_path", "map_texts", "materialise", "ranked", "release", "scratch", "shuffle_width", "small", "spaced", "table",
+    "unused", "words",
+]
 
 #: The white space of the contracts: space and U+0009 to U+000D.
 BLANK = " \t\n\x0b\x0c\r"
@@ -28,6 +31,11 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(spaced(text), " ", -1), "")
 
 
+def content(columns: Sequence[str]) -> Column:
+    """64 bits that name a row by what it holds in ``columns``; together with an id they tell rows apart without their texts."""
+    return F.xxhash64(*[x for c in columns for x in (F.col(c), F.col(c).isNull())])
+
+
 #: Texts that one call of a Python function sees; results leave the worker slice by slice.
 TEXTS = 256
 
@@ -37,7 +45,8 @@ def map_texts(df: DataFrame, carry: Sequence[str], run: Callable[[list[str]], li
 
     ``run`` gets up to TEXTS whole texts (null as '') and returns a list or
     array for each column of the schema ``added``.  Carried columns pass as
-    Arrow arrays, so nulls and large integers stay what they are.
+    Arrow arrays, so nulls and large integers stay what they are; other
+    columns of ``df`` are not read, whatever their names.
     """
     head = df.select(*carry)
     schema = T.StructType([*head.schema.fields, *T.StructType.fromDDL(added).fields])

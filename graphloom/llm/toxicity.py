@@ -13,14 +13,14 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.boosting import Calibrated
-from graphloom.llm.common import map_texts, materialise, table
+from graphloom.llm.boosting import FOLDS, Calibrated
+from graphloom.llm.common import map_texts, materialise, scratch, table
 from graphloom.llm.labelled import held_out, sample
 
 #: The classifier learns from at most so many labelled documents.
 SAMPLE_ROWS = 12_000
-#: Most words, and most stems, of the lexicon; contexts that an entry needs; least log-odds.
-LEXICON_WORDS = 4_000
+#: Most words, and most stems, of a lexicon for each drawn document; contexts that an entry needs; least log-odds.
+ENTRIES = 4
 CONTEXTS = 4
 LOG_ODDS = 2.5
 STEMS = (4, 5, 6)
@@ -83,34 +83,37 @@ class Lexicon:
         ]
 
 
-def learn_lexicon(drawn: DataFrame) -> Lexicon:
-    """Words and stems with their log-odds from labelled texts (text, y); at most LEXICON_WORDS of each reach the driver."""
+def learn_lexicons(drawn: DataFrame, most: int) -> list[Lexicon]:
+    """Lexicons of labelled texts (text, y, fold): one without each fold, then one of all; at most ``most`` words and stems of each reach the driver.
+
+    A context counts for a lexicon if it stands in any fold but the one left
+    out, so all are summed in one pass over the distinct contexts.
+    """
     tokens = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    pairs = drawn.select("y", tokens.alias("w")).select(
-        "y",
+    pairs = drawn.select("y", "fold", tokens.alias("w")).select(
+        "y", "fold",
         F.explode(F.transform("w", lambda x, i: F.struct(x.alias("word"), F.when(i > 0, F.col("w")[F.greatest(i - 1, F.lit(0))]).alias("before")))),
-    )
-    contexts = pairs.select("y", "col.word", "col.before").distinct()
-    counts = contexts.groupBy("word").agg(F.sum(F.when(F.col("y") > 0, 1).otherwise(0)).alias("t"), F.sum(F.when(F.col("y") > 0, 0).otherwise(1)).alias("c"))
+    )
+    contexts = pairs.groupBy("y", "col.word", "col.before").agg(F.bit_or(F.expr("shiftleft(1, fold)")).alias("folds"))
+    sides = [(f"{side}{k}", (F.col("y") > 0) == (side == "t"), k) for k in range(FOLDS + 1) for side in "tc"]
+    inside = lambda k: F.col("folds").bitwiseAND(F.lit(((1 << FOLDS) - 1) & ~(1 << k))) != 0
+    counts = contexts.groupBy("word").agg(*[F.count_if(wanted & inside(k)).alias(n) for n, wanted, k in sides])
     counts = materialise(counts, "toxic-words")
-    total = counts.agg(F.sum("t").alias("t"), F.sum("c").alias("c")).first()
-    all_t, all_c = (total["t"] or 0) + 1.0, (total["c"] or 0) + 1.0
-    odds = F.log((F.col("t") + 0.5) / F.lit(all_t)) - F.log((F.col("c") + 0.5) / F.lit(all_c))
-
-    def best(entries: DataFrame, key: str) -> dict[str, float]:
-        strong = entries.filter(F.col("t") >= CONTEXTS).withColumn("odds", odds).filter(F.col("odds") >= LOG_ODDS)
-        return {r[key]: r["odds"] for r in strong.orderBy(F.desc("t"), key).limit(LEXICON_WORDS).select(key, "odds").collect()}
-
-    stems = counts.filter(F.length("word") >= min(STEMS)).select(
-        "t", "c", F.explode(F.array(*[F.when(F.length("word") >= n, F.substring("word", 1, n)) for n in STEMS])).alias("stem")
+    names = [n for n, _, _ in sides]
+    total = counts.agg(*[F.sum(n).alias(n) for n in names]).first()
+    beginnings = counts.filter(F.length("word") >= min(STEMS)).select(
+        *names, F.explode(F.array(*[F.when(F.length("word") >= n, F.substring("word", 1, n)) for n in STEMS])).alias("stem")
     )
-    stems = stems.filter("stem IS NOT NULL").groupBy("stem").agg(F.sum("t").alias("t"), F.sum("c").alias("c"), F.sum(F.when(F.col("t") > 0, 1).otherwise(0)).alias("forms"))
-    return Lexicon(best(counts, "word"), best(stems.filter(F.col("forms") >= STEM_FORMS), "stem"))
+    forms = [F.count_if(F.col(f"t{k}") > 0).alias(f"forms{k}") for k in range(FOLDS + 1)]
+    stems = materialise(beginnings.filter("stem IS NOT NULL").groupBy("stem").agg(*[F.sum(n).alias(n) for n in names], *forms), "toxic-stems")
 
+    def best(entries: DataFrame, key: str, k: int) -> dict[str, float]:
+        t, c = F.col(f"t{k}"), F.col(f"c{k}")
+        odds = F.log((t + 0.5) / F.lit((total[f"t{k}"] or 0) + 1.0)) - F.log((c + 0.5) / F.lit((total[f"c{k}"] or 0) + 1.0))
+        strong = entries.filter(t >= CONTEXTS).select(key, t.alias("t"), odds.alias("odds")).filter(F.col("odds") >= LOG_ODDS)
+        return {r[key]: r["odds"] for r in strong.orderBy(F.desc("t"), key).limit(most).select(key, "odds").collect()}
 
-def featured(df: DataFrame, lexicon: Lexicon, carry: list[str]) -> DataFrame:
-    """Columns ``carry`` and x array<double>: the features of each row's whole text.  No shuffle."""
-    return map_texts(df, carry, lambda texts: [[lexicon.features(t) for t in texts]], "x array<double>")
+    return [Lexicon(best(counts, "word", k), best(stems.filter(F.col(f"forms{k}") >= STEM_FORMS), "stem", k)) for k in range(FOLDS + 1)]
 
 
 class Model:
@@ -119,15 +122,23 @@ class Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
-    """Learn from at most ``rows`` labelled documents that are not held out; no labels: a constant score."""
+    """Learn from at most ``rows`` labelled documents that are not held out; no labels: a constant score.
+
+    Folds go by a hash of the text, so equal texts stand in one.  Calibration
+    sees predictions for which neither the lexicon nor the trees have seen the row's fold.
+    """
     import numpy as np
 
-    drawn = materialise(sample(docs, labels, "toxic", rows), "toxic-sample")
-    lexicon = learn_lexicon(drawn)
-    got = featured(drawn, lexicon, ["doc_id", "y"]).collect()
-    rows_ = sorted((r["doc_id"], r["y"], r["x"]) for r in got)
-    x = np.array([r[2] for r in rows_], float).reshape(-1, len(FEATURES))
-    return Model(lexicon, Calibrated(x, np.array([float(r[1] > 0) for r in rows_])))
+    with scratch(docs.sparkSession):
+        fold = F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int").alias("fold")
+        drawn = materialise(sample(docs, labels, "toxic", rows).select("*", fold), "toxic-sample")
+        lexicons = learn_lexicons(drawn, ENTRIES * rows)
+        views = lambda texts: [[[x for lexicon in lexicons for x in lexicon.features(t)] for t in texts]]
+        viewed = map_texts(drawn, ["doc_id", "y", "fold"], views, "x array<double>")
+        got = sorted((r["doc_id"], r["y"], r["fold"], r["x"]) for r in viewed.collect())
+    x = np.array([r[3] for r in got], float).reshape(-1, FOLDS + 1, len(FEATURES))
+    y, fold = np.array([float(r[1] > 0) for r in got]), np.array([r[2] for r in got], int)
+    return Model(lexicons[-1], Calibrated(x[:, FOLDS], y, fold, [x[:, k] for k in range(FOLDS)]))
 
 
 def score(df: DataFrame, model: Model) -> DataFrame:
@@ -143,7 +154,12 @@ def score(df: DataFrame, model: Model) -> DataFrame:
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Score every document.  Repeated rows are scored each; an empty table gives no rows."""
+    """Score every document.
+
+    Null and empty texts are scored as texts without words; a very long text is
+    read whole; repeated rows are scored each and equal texts alike; an empty
+    table gives no rows; other columns are not read, whatever their names.
+    """
     docs = table(spark, sf_dir, "documents")
     scored = score(docs, train(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))

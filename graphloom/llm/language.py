@@ -13,15 +13,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import map_texts, materialise, table
+from graphloom.llm.common import map_texts, materialise, release, small, table
 from graphloom.llm.labelled import held_out
 
-#: A dictionary holds at most so many bytes, drawn from about so many documents, of each so many characters at most.
-#: Beyond LANGUAGES languages both shrink in proportion, so that all dictionaries together stay as large as LANGUAGES full ones.
+#: A dictionary is learned from about so many parts of texts, of so many characters at most, and holds at most so many bytes.
+#: Parts are drawn from everywhere in whole texts.  Beyond LANGUAGES languages fewer are drawn and kept of each, so that
+#: all dictionaries together stay as large as LANGUAGES full ones.
 DICTIONARY_BYTES = 256 << 10
-SAMPLE_DOCS = 250
+SAMPLE_PARTS = 250
 SAMPLE_CHARS = 2_000
 LANGUAGES = 64
+#: Counts, a row a language, are broadcast up to so many rows.
+LANGUAGE_ROWS = 200_000
 LEVEL = 9
 #: Below this relative margin a prediction counts as rejected.
 MARGIN = 0.01
@@ -38,30 +41,35 @@ def normalised(text: str) -> str:
 def train(docs: DataFrame) -> dict[str, bytes]:
     """Dictionary of each language, from documents that are not held out (columns doc_id, text, lang).
 
-    Every language is learned.  A language's documents are drawn by a hash
-    below a share of its number of doc_ids, so the draw is one filter, stable
-    between runs and no larger for a language that holds most rows; of repeated
-    rows of a doc_id in a language the least text counts.
+    Every language is learned.  Whole texts are cut into parts of SAMPLE_CHARS;
+    a language's parts are drawn by a hash of (doc_id, part) below a share of
+    their number, so the draw is one filter, stable between runs and no larger
+    for a language that holds most rows.  Of repeated rows of a doc_id in a
+    language the least text of a part counts.
     """
     able = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32))
-    ids = able.select("lang", "doc_id").distinct()
-    # a small share can draw nothing by chance: the first doc_id of each language is always in it
-    counts = materialise(ids.groupBy("lang").agg(F.count(F.lit(1)).alias("count"), F.min(place).alias("first")), "languages")
+    place = lambda part: F.pmod(F.xxhash64("doc_id", part), F.lit(1 << 32))
+    parts = F.sequence(F.lit(0), F.expr(f"int(greatest(length(text) - 1, 0) div {SAMPLE_CHARS})"))
+    each = able.select("lang", "doc_id", F.explode(parts).alias("part")).distinct()
+    # a small share can draw nothing by chance: the first part of least hash of each language is always in it
+    counts = materialise(each.groupBy("lang").agg(F.count(F.lit(1)).alias("count"), F.min(place(F.col("part"))).alias("first")), "languages")
     full = max(1.0, counts.count() / LANGUAGES)
-    wanted, size = max(1, int(SAMPLE_DOCS / full)), max(1, int(DICTIONARY_BYTES / full))
-    drawn = (
-        able.select("doc_id", "lang", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
-        .join(F.broadcast(counts), "lang")
-        .filter((place * F.col("count") < F.lit(float(wanted << 32))) | (place == F.col("first")))
-        .groupBy("lang", "doc_id")
+    wanted, size = max(1, int(SAMPLE_PARTS / full)), max(1, int(DICTIONARY_BYTES / full))
+    drawn = lambda i: (place(i).cast("double") * F.col("count") < F.lit(float(wanted << 32))) | (place(i) == F.col("first"))
+    taken = (
+        able.select("doc_id", "lang", "text")
+        .join(small(counts, LANGUAGE_ROWS), "lang")
+        .select("doc_id", "lang", "text", F.explode(F.filter(parts, drawn)).alias("part"))
+        .select("doc_id", "lang", "part", F.substring("text", F.col("part") * SAMPLE_CHARS + 1, F.lit(SAMPLE_CHARS)).alias("text"))
+        .groupBy("lang", "doc_id", "part")
         .agg(F.min("text").alias("text"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
+        .orderBy(F.xxhash64("doc_id", "part"), "doc_id", "part")
     )
-    parts: dict[str, list[bytes]] = {}
-    for row in drawn.collect():
-        parts.setdefault(row["lang"], []).append(normalised(row["text"]).encode())
-    return {lang: b" ".join(texts)[:size] for lang, texts in sorted(parts.items())}
+    found: dict[str, list[bytes]] = {}
+    for row in taken.collect():
+        found.setdefault(row["lang"], []).append(normalised(row["text"]).encode())
+    release(counts)
+    return {lang: b" ".join(texts)[:size] for lang, texts in sorted(found.items())}
 
 
 class Classifier:
@@ -113,7 +121,13 @@ def identify(df: DataFrame, dictionaries: dict[str, bytes], carry: list[str]) ->
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Predict every document's language.  Repeated rows are predicted each; an empty table gives no rows."""
+    """Predict every document's language.
+
+    Null, empty and letterless texts are 'und' with score 0; a very long text is
+    compressed whole; ties go to the first language by name; repeated rows are
+    predicted each; an empty table gives no rows; other columns are not read,
+    whatever their names.
+    """
     docs = table(spark, sf_dir, "documents")
     found = identify(docs, train(docs), ["doc_id"])
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")

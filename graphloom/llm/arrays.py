@@ -10,9 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: A packed long holds 37 bits of a hash above 26 bits of a position (67 million words a text;
-#: later positions share the last number).
-AT_BITS = 26
+#: A packed long holds 32 bits of a hash above 31 bits of a position, which number every element an array can have.
+AT_BITS = 31
 HASH_BITS = 63 - AT_BITS
 AT_MASK = (1 << AT_BITS) - 1
 HASH_MASK = ((1 << HASH_BITS) - 1) << AT_BITS
@@ -34,7 +33,7 @@ def packed(hashes: Column, shift: int = 0) -> Column:
 
     def pack(x: Column, i: Column) -> Column:
         high = F.shiftleft(x, shift) if shift else x
-        return high.bitwiseAND(F.lit(HASH_MASK)).bitwiseOR(F.least(i, F.lit(AT_MASK)).cast("long"))
+        return high.bitwiseAND(F.lit(HASH_MASK)).bitwiseOR(i.cast("long"))
 
     return F.sort_array(F.transform(hashes, pack))
 

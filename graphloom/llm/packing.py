@@ -11,10 +11,10 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import materialise, ranked, table
+from graphloom.llm.common import BROADCAST_ROWS, materialise, release, small, table
 
 MOST = 1024
 END = 0
@@ -27,7 +27,7 @@ SLICE = 128
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SPLIT_SINGLE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s"
 
-PIECES = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint"
+PIECES = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, copy bigint, task int, nth bigint"
 
 
 def piece_lengths(n: int, most: int = MOST) -> list[int]:
@@ -105,13 +105,16 @@ def encoder(path: str | None, added: bool = False) -> Encoder:
     return _encoders[path, added]
 
 
-def pack(df: DataFrame, tokenizer: str | None = None, most: int = MOST, end: int = END, added: bool = False, copies: bool = False) -> DataFrame:
-    """Pieces (doc_id, start, length, ids, doc_tokens) of every row's text; ``ids`` are little-endian uint32 bytes.
+def pack(df: DataFrame, tokenizer: str | None = None, most: int = MOST, end: int = END, added: bool = True) -> DataFrame:
+    """Pieces (doc_id, start, length, ids, doc_tokens, copy, task, nth) of every row's text; ``ids`` are little-endian uint32 bytes.
 
-    Null or empty text is the end id alone.  Row-local: no shuffle, memory in
-    proportion to SLICE texts.  A repeated row yields its pieces again.  With
-    ``added``, strings of special tokens are those tokens; with ``copies``, a
-    column ``copy`` tells rows apart (write the pieces before they are read twice).
+    ``copy`` tells rows apart, ``nth`` counts the pieces of one length in their
+    task: write the pieces before they are read twice.  Null or empty text is
+    the end id alone; a repeated row yields its pieces again.  Row-local: no
+    shuffle; memory in proportion to SLICE texts, of which a very long one may
+    be any.  Other columns of ``df`` are not read, whatever their names.
+    ``added``: strings of special tokens in a text are those tokens, as in the
+    tokenizer, else ordinary text.
     """
 
     def run(batches: Iterator) -> Iterator:
@@ -119,52 +122,66 @@ def pack(df: DataFrame, tokenizer: str | None = None, most: int = MOST, end: int
 
         enc = encoder(tokenizer, added)
         closing = int(end).to_bytes(4, "little")
-        schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64())])
-        schema = schema.append(pa.field("copy", pa.int64())) if copies else schema
+        kinds = {"doc_id": pa.int64(), "start": pa.int64(), "length": pa.int64(), "ids": pa.binary(), "doc_tokens": pa.int64(), "copy": pa.int64(), "task": pa.int32(), "nth": pa.int64()}
+        schema = pa.schema(list(kinds.items()))
+        seen: dict[int, int] = {}
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
                 rows: list[tuple] = []
                 encoded = enc.encode([t or "" for t in part.column(1).to_pylist()])
-                own = part.column(2).to_pylist() if copies else [None] * part.num_rows
-                for doc, ids, copy in zip(part.column(0).to_pylist(), encoded, own, strict=True):
+                for doc, ids, copy, task in zip(part.column(0).to_pylist(), encoded, part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
                     data = ids + closing
                     start, n = 0, len(data) // 4
                     for length in piece_lengths(n, most):
-                        rows.append((doc, start, length, data[4 * start : 4 * (start + length)], n, *([copy] if copies else [])))
+                        nth = seen[length] = seen.get(length, -1) + 1
+                        rows.append((doc, start, length, data[4 * start : 4 * (start + length)], n, copy, task, nth))
                         start += length
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    row = [F.monotonically_increasing_id().alias("copy")] if copies else []
-    return df.select(F.col("doc_id").cast("bigint"), "text", *row).mapInArrow(run, PIECES + (", copy bigint" if copies else ""))
+    row = F.monotonically_increasing_id().alias("copy"), F.spark_partition_id().alias("task")
+    return df.select(F.col("doc_id").cast("bigint"), "text", *row).mapInArrow(run, PIECES)
 
 
 def number(pieces: DataFrame) -> DataFrame:
-    """Give each piece its sequence: numbers without gaps, bucket by bucket (longest first), then doc_id and start."""
-    order = [F.desc("length"), F.asc("doc_id"), F.asc("start")]
-    return ranked(pieces, [], order, "sequence_id").withColumn("offset", F.lit(0).cast("long"))
+    """Give each piece of a written table its sequence: numbers without gaps, bucket by bucket (longest first), then task by task.
+
+    Each task has counted its own pieces of a length, so only one count a
+    (length, task) is summed up: no piece is shuffled or sorted.
+    """
+    counts = materialise(pieces.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n")), "bucket-tasks")
+    lengths = counts.groupBy("length").agg(F.sum("n").alias("n"))
+    longer = Window.orderBy(F.desc("length")).rowsBetween(Window.unboundedPreceding, -1)  # one row a length: eleven at most
+    buckets = lengths.select(F.col("length").alias("bucket"), F.coalesce(F.sum("n").over(longer), F.lit(0)).alias("base"))
+    before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    inside = counts.select("length", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    starts = inside.join(buckets, inside["length"] == buckets["bucket"]).select("length", "task", (F.col("base") + F.col("first")).alias("first"))
+    starts = materialise(starts, "bucket-starts")
+    release(counts)
+    placed = pieces.join(small(starts, BROADCAST_ROWS), ["length", "task"]).withColumn("sequence_id", F.col("first") + F.col("nth"))
+    return placed.withColumn("offset", F.lit(0).cast("long")).drop("first", "nth", "task")
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """The numbered pieces with a CRC in place of their ids, so that only numbers are shuffled."""
-    pieces = pack(docs, added=True).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
+    """The numbered pieces with a CRC in place of their ids."""
+    pieces = materialise(pack(docs).withColumn("ids_crc32", F.crc32("ids")).drop("ids", "copy"), "pieces")
     return number(pieces).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
 def sequences(docs: DataFrame) -> DataFrame:
     """The numbered pieces with their ids, their CRC and ``copy``, which tells rows of one doc_id apart.
 
-    Pieces are written once; only numbers are ordered, and meet the ids again by
-    (copy, start), which names a piece.
+    Edge cases as in ``pack``; an empty table gives no rows.
     """
-    pieces = materialise(pack(docs, added=True, copies=True).withColumn("ids_crc32", F.crc32("ids")), "pieces")
-    numbered = number(pieces.select("copy", "doc_id", "start", "length")).select("copy", "start", "sequence_id", "offset")
-    columns = ["doc_id", "copy", "start", "length", "ids", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-    return pieces.join(numbered, ["copy", "start"]).select(*columns)
+    pieces = materialise(pack(docs).withColumn("ids_crc32", F.crc32("ids")), "pieces")
+    return number(pieces).select("doc_id", "copy", "start", "length", "ids", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents packed.  An empty table gives no rows."""
+    """All documents packed.
+
+    Null and empty texts are one piece, the end id; very long texts are many
+    pieces of MOST; repeated rows are packed each; ties have no meaning here; an
+    empty table gives no rows; other columns are not read, whatever their names.
+    """
     return digest(table(spark, sf_dir, "documents"))

@@ -10,14 +10,19 @@
    agreements share one of the first ``COORDINATES - MATCHES + 1``.  Values
    that one class alone has cannot collide: they take up room in that prefix
    but are never posted, and a class with too few shared values leaves.
-3. Skip merging: each posting list first meets one member only (a star), the
-   one whose values are most frequent, which stands nearest to the text that
-   all were copied from.  Confirmed links are contracted, and lists that lie
-   within one component are skipped.  Members of the lists that stay open are
-   joined by the rarest shingles of their full sets, in prefixes whose lengths
-   follow from both sizes, so no link between components is lost.  A list of
-   thousands of copies costs its length, not its square.
-4. Candidates with enough agreeing coordinates are confirmed on full sets.
+3. Skip merging: the lists of a class's most frequent values are not merged but
+   probed, by counting agreeing coordinates of the pairs that the rarer lists
+   yield.  Each list first meets one member only (a star), the one whose values
+   are most frequent, which stands nearest to the text that all were copied
+   from.  Confirmed links are contracted, and lists that lie within one
+   component are skipped.
+4. Pairs between components of a list that stays open are not read off the list:
+   texts that share one frequent passage, but are not alike, would give all
+   their pairs.  The lists tell who is open; open members are joined by the
+   rarest shingles of their full sets, in prefixes whose lengths follow from
+   both sizes, so no link between components is lost.  A list of thousands of
+   copies costs its length, not its square.
+5. Pairs with MATCHES agreeing coordinates or more are confirmed on full sets.
 """
 
 from __future__ import annotations
@@ -27,7 +32,7 @@ import functools
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import map_texts, materialise, small, table
+from graphloom.llm.common import map_texts, materialise, scratch, small, table
 from graphloom.llm.components import components
 
 SHINGLE = 5
@@ -38,6 +43,8 @@ COORDINATES = 64
 MATCHES = 28
 #: Ids of candidates are broadcast up to this many (16 bytes each) to filter texts before they are read into sets.
 BROADCAST_IDS = 1_000_000
+#: A set that more pairs need is sent in copies, one for each so many pairs.
+CHUNK = 128
 
 BLANKS = (9, 10, 11, 12, 13, 32)
 
@@ -174,11 +181,28 @@ def postings(classes: DataFrame) -> DataFrame:
     return ranked_.filter((F.col("s") >= MATCHES) & (F.col("at") <= F.col("s") - (MATCHES - 1))).select("key", "rep", "common")
 
 
+def _with_sets(pairs: DataFrame, known: DataFrame, sets: DataFrame, side: str) -> DataFrame:
+    """``pairs`` with set_{side} of their class on that side.
+
+    A class in more than CHUNK pairs (``known`` has these pairs narrow) has its
+    pairs dealt to copies of its set, so that no task gets all of a hub.
+    """
+    hubs = known.groupBy(side).agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("shares")).filter("shares > 1")
+    hubs = small(materialise(hubs, "hubs"), BROADCAST_IDS)
+    keys = [side, f"h1_{side}", f"h2_{side}"]
+    other = "b" if side == "a" else "a"
+    dealt = pairs.join(hubs, side, "left").withColumn("share", F.pmod(F.xxhash64(other), F.coalesce("shares", F.lit(1)))).drop("shares")
+    named = sets.select(F.col("doc_id").alias(side), F.col("h1").alias(keys[1]), F.col("h2").alias(keys[2]), F.col("hashes").alias(f"set_{side}"))
+    copies = named.join(hubs, side, "left").withColumn("share", F.explode(F.sequence(F.lit(0), F.coalesce("shares", F.lit(1)) - 1))).drop("shares")
+    return dealt.join(copies.withColumn("share", F.col("share").cast("long")), [*keys, "share"]).drop("share", keys[1], keys[2])
+
+
 def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """Those of ``pairs`` (a, b: representatives) whose sets are linked.
 
     First the sizes and the count of agreeing coordinates, then the full sets,
-    which are made only of texts that still stand in a pair.
+    which are made only of texts that still stand in a pair.  Sets of ``a`` join
+    first and travel on to ``b``, so ``b`` should be the side of the hubs.
     """
     one, two = (classes.select(*[F.col(c).alias(f"{c}_{s}") for c in ("rep", "n", "h1", "h2", "mins")]) for s in "ab")
     met = pairs.join(one, F.col("a") == F.col("rep_a")).join(two, F.col("b") == F.col("rep_b"))
@@ -192,8 +216,7 @@ def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
         return close.select("a", "b")
     read = docs.select("doc_id", "text").join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, "doc_id", "left_semi")
     sets = full_sets(read).dropDuplicates(["doc_id", "h1", "h2"])
-    left, right = (sets.select(F.col("doc_id").alias(s), F.col("h1").alias(f"h1_{s}"), F.col("h2").alias(f"h2_{s}"), F.col("hashes").alias(f"set_{s}")) for s in "ab")
-    both = close.join(right, ["b", "h1_b", "h2_b"]).join(left, ["a", "h1_a", "h2_a"]).select("a", "b", "set_a", "set_b")
+    both = _with_sets(_with_sets(close, close, sets, "a"), close, sets, "b").select("a", "b", "set_a", "set_b")
 
     def linked(batches):
         import numpy as np
@@ -201,8 +224,8 @@ def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                p, q = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                p, q = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
                 inner = len(np.intersect1d(p, q, assume_unique=True))
                 keep.append(100 * inner >= PERCENT * (len(p) + len(q) - inner))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -211,10 +234,9 @@ def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def _stars(posted: DataFrame) -> DataFrame:
-    """Each list's member of most frequent values with every other one."""
-    centre = posted.groupBy("key").agg(F.max_by("rep", F.struct("common", "rep")).alias("a"), F.count(F.lit(1)).alias("k")).filter("k > 1")
-    met = posted.join(centre, "key").filter("rep <> a")
-    return met.select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct()
+    """Each list's member of most frequent values (b) with every other one (a)."""
+    centre = posted.groupBy("key").agg(F.max_by("rep", F.struct("common", "rep")).alias("b"), F.count(F.lit(1)).alias("k")).filter("k > 1")
+    return posted.join(centre, "key").filter("rep <> b").select(F.col("rep").alias("a"), "b").distinct()
 
 
 def _within_reach(r_a, n_a, r_b, n_b):
@@ -265,10 +287,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     A document is linked to another if 100 x intersection >= 75 x union of
     their shingle sets; the component's id is the least doc_id reachable and its
     document alone is kept.  Null, empty or blank texts have the empty set and
-    are linked with nothing.  Rows of one doc_id are one document: it is linked
+    are linked with nothing.  A very long text is one set of all its shingles,
+    in the memory of one row.  Rows of one doc_id are one document: it is linked
     if any of its texts is.  Rows without doc_id are kept, unlinked, with null
-    component.  An empty table gives no rows.
+    component.  An empty table gives no rows; other columns are not read,
+    whatever their names.  The result is a written, narrow table; all that it was
+    made from is dropped.
     """
+    with scratch(docs.sparkSession) as held:
+        return held.keep(materialise(_near_duplicates(docs.select("doc_id", "text")), "near-duplicates"))
+
+
+def _near_duplicates(docs: DataFrame) -> DataFrame:
     signed = materialise(signatures(docs), "signatures")
     known = signed.filter("doc_id IS NOT NULL")
     grouped = known.filter("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("mins").alias("mins"))
@@ -294,5 +324,5 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Near-duplicates among all documents."""
-    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """Near-duplicates among all documents; edge cases as in ``near_duplicates``."""
+    return near_duplicates(table(spark, sf_dir, "documents"))

@@ -1,10 +1,12 @@
 import math
+import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from graphloom.llm import rules
-from tests.llm.brute import rule_counts
+from tests.llm.brute import rule_counts, rule_cutoffs
 
 ODD = [
     (1, None), (2, ""), (3, " \t\n"), (4, "a"), (5, "a b"), (6, "a b c a b c"), (7, "x " * 3000), (8, "l1\nl1\n\n\nl1 \nl2"),
@@ -57,4 +59,46 @@ def test_cutoffs_are_fitted_on_all_labelled_rows(spark):
     )
     labels = measured.select("doc_id", F.when(F.col("doc_id") % 5 == 0, 0).otherwise(1).alias("quality"))
     found = rules.fit(measured, labels, "lang").collect()
-    assert [(r.rule, r.n_good, r.good_rejected, r.bad_rejected) for r in found] == [("symbol_share", 200_000, 0, 50_000)]
+    assert all(r.proved for r in found) and sorted(r.rule for r in found) == sorted(rules.RULES)
+    assert [(r.rule, r.n_good, r.good_rejected, r.bad_rejected) for r in found if r.cutoff] == [("symbol_share", 200_000, 0, 50_000)]
+
+
+def test_verdicts_equal_brute_force(spark):
+    rng = random.Random(4)
+    docs, labels = [], []
+    for i in range(2400):
+        bad, lang = i % 8 == 0, ("en", "de", "xx", None)[min(3, i % 13 % 5)]
+        words = [f"{rng.choice('abc')}{rng.randrange(10**6)}" for _ in range(60)]
+        junk = rng.randrange(0, 40) if bad else rng.randrange(0, 3)
+        words[:junk] = [w + "%#" for w in words[:junk]]
+        if bad and rng.random() < 0.5:
+            words = [w.upper() for w in words]
+        docs.append((i if i % 97 else None, " ".join(words), lang, 1))
+        labels += [(i, int(not bad))] * (2 if i % 50 == 0 else 1)
+    docs += [(9000, None, "en", 1), (9001, "", None, 1), (9002, docs[8][1], "yy", 1), (9002, docs[8][1], "yy", 1)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string, cutoff int").select("*", *[F.lit("clash").alias(c) for c in ("stratum", "kept", "n_words", "_words", "_c_caps_share", "quality")])
+    label_frame = spark.createDataFrame([*labels, (3, None), (None, 1)], "doc_id long, quality int")
+    got = rules.judge(frame, label_frame).collect()
+    shares = [{k: r[k] for k in rules.RULES} for r in got]
+    quality = {}
+    for i, q in labels:
+        quality.setdefault(i, []).append(q)
+    labelled = [(r.lang, q, s) for r, s in zip(got, shares) if not r.base_failed for q in quality.get(r.doc_id, [])]
+    cutoffs = rule_cutoffs(labelled, rules.RULES)
+    assert sum(c is not None for c in cutoffs.values()) > 1
+    for r, s in zip(got, shares):
+        broken = [k for k in rules.RULES if cutoffs.get((r.lang, k)) is not None and s[k] > cutoffs[r.lang, k]]
+        assert r.rejected_by == broken and r.kept == (not r.base_failed and not broken)
+        assert r.lang != "yy" or r.unproved == list(rules.RULES)
+    assert sum(not r.kept and not r.base_failed for r in got) > 100 and len(got) == len(docs)
+
+
+def test_rules_reject_beyond_the_base_rule_in_more_than_one_language(spark):
+    where = "/root/testdata/sf0.1"
+    if not os.path.isdir(where):
+        pytest.skip("no table of this size")
+    docs, labels = (spark.read.parquet(f"{where}/{t}.parquet") for t in ("documents", "labels"))
+    judged = rules.judge(docs, labels)
+    beyond = judged.filter("NOT base_failed AND NOT kept").join(labels, "doc_id").groupBy("lang").agg(F.count_if(F.col("quality") == 0).alias("bad"), F.count_if(F.col("quality") == 1).alias("good")).collect()
+    print(beyond, judged.groupBy("lang", "unproved").count().collect())
+    assert sum(r.bad > 0 for r in beyond) > 1 and sum(r.good for r in beyond) < 0.01 * labels.filter("quality = 1").count()

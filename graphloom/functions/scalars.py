@@ -34,6 +34,32 @@ def percent(value: Column) -> Column:
     return F.format_string("%.1f%%", value * 100)
 
 
+def decimals(value: Column, n: int) -> Column:
+    return F.format_string(f"%.{n}f", value.cast("double"))
+
+
+def scientific(value: Column, n: int = 3) -> Column:
+    return F.format_string(f"%.{n}e", value.cast("double"))
+
+
+def padded(value: Column, width: int) -> Column:
+    return F.format_string(f"%0{width}d", value.cast("long"))
+
+
+def thousands(value: Column) -> Column:
+    return F.format_string("%,d", value.cast("long"))
+
+
+def joined(values: Column, n: int, separator: str = ", ") -> Column:
+    """Numbers with ``n`` decimals, joined."""
+    return F.array_join(F.transform(values, lambda x: decimals(x, n)), separator)
+
+
+def iso(ts: Column) -> Column:
+    """Date and time to the second; the time is a parameter, so results can be repeated."""
+    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
+
+
 def zip_shorter(names: Column, values: Column) -> Column:
     """Pairs by position up to the shorter array."""
     n = F.least(F.size(names), F.size(values))

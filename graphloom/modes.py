@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from graphloom import graph
 from graphloom.operators import lookup, ranking, structure
+from graphloom.config import ModeOptions, add_options, loggers
 from graphloom.session import session
-from graphloom.sources import artifacts
 
 
 def _seed(spark: SparkSession, d: str, text: str) -> str:
@@ -54,6 +54,14 @@ def report(spark: SparkSession, d: str, text: str, depth: int = 3, threshold: fl
     return q.unionByName(s).unionByName(f)
 
 
+def result(spark: SparkSession, d: str, mode: str, best: DataFrame, top_k: int = 10) -> DataFrame:
+    """One row (mode, graph, top_nodes): counts of the graph and the ``top_k`` ranked nodes with text and score, as the JSON result names them."""
+    node = graph.nodes(spark, d)
+    counts = F.struct(F.lit(node.count()).alias("n_nodes"), F.lit(graph.edges(spark, d).count()).alias("n_edges"))
+    rows = best.filter(F.col("rank") <= top_k).select(F.struct("rank", "node_id", F.coalesce("text", F.lit("")).alias("text"), F.col("score").alias("forecast_score")).alias("r"))
+    return rows.agg(F.array_sort(F.collect_list("r")).alias("top_nodes")).select(F.lit(mode).alias("mode"), counts.alias("graph"), "top_nodes")
+
+
 MODES: dict[str, Callable[..., DataFrame]] = {"query": query, "forecast": forecast, "scan": scan, "edge": edge, "report": report}
 
 
@@ -62,19 +70,20 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("mode", choices=sorted(MODES))
     parser.add_argument("folder", help="folder of Parquet tables")
     parser.add_argument("texts", nargs="*", help="query text, or two texts of an edge")
-    parser.add_argument("--top_k", type=int, default=10)
-    parser.add_argument("--threshold", type=float, default=72.5)
-    parser.add_argument("--n_paths", type=int, default=20)
-    parser.add_argument("--depth", type=int, default=4)
-    parser.add_argument("--output_json", help="folder for the rows as JSON lines")
+    add_options(parser, ModeOptions)
     args = parser.parse_args(argv)
+    log, _ = loggers()
     wanted = {"query": ("n_paths", "top_k"), "forecast": ("depth",), "scan": ("threshold", "top_k"), "edge": (), "report": ("depth", "threshold", "n_paths", "top_k")}
     options = {k: getattr(args, k) for k in wanted[args.mode]}
-    rows = MODES[args.mode](session(), args.folder, *args.texts, **options)
-    if args.output_json:
-        artifacts.write_json(rows, args.output_json, 1_000_000, [F.lit(1)])
-    else:
+    spark = session()
+    rows = MODES[args.mode](spark, args.folder, *args.texts, **options)
+    log.info("mode %s over %s", args.mode, args.folder)
+    if not args.output_json:
         rows.show(args.top_k, truncate=False)
+    elif args.mode == "scan":
+        result(spark, args.folder, args.mode, rows, args.top_k).coalesce(1).write.mode("overwrite").json(args.output_json)
+    else:
+        rows.write.mode("overwrite").json(args.output_json)
 
 
 if __name__ == "__main__":

@@ -5,6 +5,8 @@ There is no trained network here; formulas are our own definitions.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,10 +28,31 @@ def node_vectors(spark: SparkSession, d: str) -> DataFrame:
     return n.select("node_id", or_zero(known, 3).alias("x"))
 
 
+def edge_vectors(edge: DataFrame, build: Callable[[DataFrame], Column] | None = None, dimension: int = 3) -> DataFrame:
+    """Regular edges with x array<double>: what ``build`` makes of an edge, zeros where it gives null or another length.
+
+    ``edge`` has the ends attached (``source_zone``).  By default: deliveries in
+    tens, logarithm of the weight (none for a weight that is not positive), the source's zone.
+    """
+    def usual(e: DataFrame) -> Column:
+        return F.when(e["total_weight"] > 0, F.array(e["n_obs"] / F.lit(10.0), F.log1p(e["total_weight"]), e["source_zone"]))
+
+    regular = edge.filter(~F.col("is_containment"))
+    return regular.select("src", "tgt", or_zero((build or usual)(regular), dimension).alias("x"))
+
+
+def predicted(vectors: DataFrame, weights: tuple[float, ...] = (1.0, 0.5, 0.25), bias: float = -1.5) -> DataFrame:
+    """(node_id, score): logistic score of a node's vector; the weights are ours, a trained model's may stand in their place."""
+    total = F.aggregate(F.zip_with("x", F.array(*[F.lit(w) for w in weights]), lambda a, b: a * b), F.lit(float(bias)), lambda s, v: s + v)
+    return vectors.select("node_id", (1 / (1 + F.exp(-total))).alias("score"))
+
+
 def message_passing(spark: SparkSession, d: str, rounds: int = 2) -> DataFrame:
     """(node_id, a, b, c): ``rounds`` times the mean of a node's own values and the mean of its strong neighbours' values.
 
     A round is one join and one grouped mean; the plan grows with the stated number of rounds.
+    Means are rounded after a ten-billionth is added: values in the middle of two
+    steps then round alike, in whatever order they were summed.
     """
     e = graph.strong(spark, d).select(graph.named("S", F.col("s")).alias("src"), graph.named("P", F.col("p")).alias("tgt"))
     both = e.unionByName(e.select(F.col("tgt").alias("src"), F.col("src").alias("tgt")))
@@ -38,7 +61,7 @@ def message_passing(spark: SparkSession, d: str, rounds: int = 2) -> DataFrame:
         near = both.join(now, both["src"] == now["node_id"]).groupBy("tgt").agg(*[F.avg(c).alias(f"n_{c}") for c in "abc"])
         met = now.join(near, now["node_id"] == near["tgt"], "left")
         now = met.select("node_id", *[((F.col(c) + F.coalesce(f"n_{c}", c)) / 2).alias(c) for c in "abc"])
-    return now.select("node_id", *[F.round(c, 6).alias(c) for c in "abc"])
+    return now.select("node_id", *[F.round(F.col(c) + 1e-10, 6).alias(c) for c in "abc"])
 
 
 def topology(spark: SparkSession, d: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -30,5 +30,20 @@ def existing(edge: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.select("a", "b", direction.alias("direction"), F.coalesce("forward_weight", "reverse_weight").alias("total_weight"))
 
 
+def matched_edges(node: DataFrame, edge: DataFrame, texts: DataFrame) -> DataFrame:
+    """``texts`` (src, tgt) with the first two nodes whose text contains either of them, in node order, and the stored edge between these, if any.
+
+    Case is ignored; fewer than two such nodes give no row.  ``texts`` is a
+    stated, small query set; a task keeps two nodes of a pair before anything is shuffled.
+    """
+    low = F.lower("text")
+    met = node.join(F.broadcast(texts), F.contains(low, F.lower("src")) | F.contains(low, F.lower("tgt")))
+    order = Window.partitionBy("src", "tgt").orderBy("seq")
+    two = met.withColumn("r", F.row_number().over(order)).filter("r <= 2")
+    ends = two.groupBy("src", "tgt").agg(F.max(F.when(F.col("r") == 1, F.col("node_id"))).alias("a"), F.max(F.when(F.col("r") == 2, F.col("node_id"))).alias("b"))
+    ends = ends.filter("b IS NOT NULL")
+    return ends.join(existing(edge, ends.select("a", "b").distinct()), ["a", "b"]).select("src", "tgt", "a", "b", "direction", "total_weight")
+
+
 def literal(spark: SparkSession, values: list[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame(values, schema)

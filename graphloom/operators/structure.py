@@ -7,10 +7,13 @@ pre-aggregated before they meet anything else.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.graph import named, nodes, strong
+from graphloom.sources.shared import materialise, release
 from graphloom.sources.tables import table
 
 
@@ -79,14 +82,33 @@ def bridges(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+#: Required kinds, a value each, are compared as one array up to so many.
+KINDS = 100_000
+
+
 def bottlenecks(spark: SparkSession, d: str) -> DataFrame:
-    """(s, missing, n_blocked): part types a strong supplier lacks, and how many suppliers lack that type."""
-    e = strong(spark, d).join(table(spark, d, "part").select(F.col("p_partkey").alias("p"), F.col("p_type").alias("missing")), "p")
-    have = e.select("s", "missing").distinct()
-    kinds = table(spark, d, "part").select(F.col("p_type").alias("missing")).distinct()
-    required = have.select("s").distinct().join(F.broadcast(kinds))
-    gone = required.join(have, ["s", "missing"], "left_anti")
-    return gone.withColumn("n_blocked", F.count(F.lit(1)).over(Window.partitionBy("missing")))
+    """(s, missing, n_blocked): part kinds (brand and type) a strong supplier lacks, and how many suppliers lack that kind.
+
+    A supplier's kinds are a set no larger than the dimension; what it lacks is
+    the difference to the set of all, one array, so no supplier meets a kind it has.
+    """
+    kind = F.concat_ws(" ", "p_brand", "p_type")
+    parts = table(spark, d, "part").select(F.col("p_partkey").alias("p"), kind.alias("missing"))
+    kinds = parts.select("missing").distinct().limit(KINDS + 1).collect()
+    if len(kinds) > KINDS:
+        raise ValueError(f"more than {KINDS} kinds are required")
+    have = strong(spark, d).join(parts, "p").groupBy("s").agg(F.collect_set("missing").alias("have"))
+    wanted = F.from_json(F.lit(json.dumps(sorted(r["missing"] for r in kinds))), "array<string>")
+    gone = have.select("s", F.explode(F.array_except(wanted, F.col("have"))).alias("missing"))
+    blocked = gone.groupBy("missing").agg(F.count(F.lit(1)).alias("n_blocked"))
+    return gone.join(blocked, "missing").select("s", "missing", "n_blocked")
+
+
+def bottleneck_rank(blocked: DataFrame, k: int = 10) -> DataFrame:
+    """(rank, missing, n_blocked): the kinds whose supply would unblock most suppliers."""
+    kinds = blocked.groupBy("missing").agg(F.count(F.lit(1)).alias("n_blocked"))
+    best = kinds.orderBy(F.desc("n_blocked"), "missing").limit(k)
+    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n_blocked"), "missing")))
 
 
 def containment(spark: SparkSession, d: str) -> DataFrame:
@@ -97,7 +119,7 @@ def containment(spark: SparkSession, d: str) -> DataFrame:
     nation = n.select(named("N", F.col("n_nationkey")).alias("node_id"), "n_nationkey", "rk", F.lit(1).alias("depth"), (F.lit(1.0) / F.col("k")).alias("share"))
     s = table(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").alias("n_nationkey"))
     sizes = s.groupBy("n_nationkey").agg(F.count(F.lit(1)).alias("k"))
-    supplier = s.join(F.broadcast(sizes), "n_nationkey").join(F.broadcast(nation.select("n_nationkey", "rk", F.col("share").alias("above"))), "n_nationkey")
+    supplier = s.join(sizes, "n_nationkey").join((nation.select("n_nationkey", "rk", F.col("share").alias("above"))), "n_nationkey")
     r, nn = F.concat(F.lit("/R"), F.col("rk").cast("string")), F.concat(F.lit("/N"), F.col("n_nationkey").cast("string"))
     return (
         region.select(r.alias("path"), "node_id", "depth", F.round("share", 9).alias("share"))
@@ -128,7 +150,7 @@ def forecast(spark: SparkSession, d: str, seed: str, depth: int = 4, decay: floa
     new.  Only the front, at most ``width`` nodes a depth, comes to the driver;
     each depth is one top-k job over the links.
     """
-    links = _links(spark, d)
+    links = materialise(_links(spark, d), "links")
     schema = "node_id string, confidence double, depth int"
     found = links.filter(F.col("a") == seed).select("a").limit(1).collect()
     seen = [(r["a"], 1.0, 0) for r in found]
@@ -142,6 +164,7 @@ def forecast(spark: SparkSession, d: str, seed: str, depth: int = 4, decay: floa
         best = hops.groupBy("b", "b_seq").agg(F.max(F.round(F.col("confidence") * decay * F.col("share"), 9)).alias("confidence"))
         front = [(r["b"], r["confidence"], level) for r in best.orderBy(F.desc("confidence"), "b_seq").limit(width).collect()]
         seen = seen + front
+    release(links)
     return spark.createDataFrame(seen, schema).filter("depth > 0").select("depth", "node_id", "confidence")
 
 

@@ -16,17 +16,26 @@ def concepts(docs: DataFrame, least: int = 4) -> DataFrame:
     return docs.select("doc_id", F.explode(words).alias("token"))
 
 
-def cooccurrence(docs: DataFrame, df_low: int = 5, df_high: int = 20, per_doc: int = 100, least: int = 3) -> DataFrame:
-    """(a, b, n): tokens that stand together in ``least`` documents or more.
+def keywords(docs: DataFrame, k: int = 32, least: int = 4) -> DataFrame:
+    """(doc_id, token): the ``k`` most telling words of each document, by count in it x ln(documents / documents with the word).
 
-    Only tokens of document frequency df_low to df_high count, of each document
-    the ``per_doc`` rarest: the pairs a document can make are bounded by definition.
+    Ties by token.  Counts and frequencies cover all words of all texts.
     """
-    tokens = concepts(docs)
-    df = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df").between(df_low, df_high))
-    rare = Window.partitionBy("doc_id").orderBy("df", "token")
-    kept = tokens.join(df, "token").withColumn("r", F.row_number().over(rare)).filter(F.col("r") <= per_doc)
-    listed = kept.groupBy("doc_id").agg(F.array_sort(F.collect_list("token")).alias("ts"))
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{%d,}" % least), F.lit(0))
+    terms = materialise(docs.select("doc_id", F.explode(words).alias("token")).groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("tf")), "terms")
+    often = terms.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    telling = F.round(F.col("tf") * F.log(F.lit(float(max(1, docs.count()))) / F.col("df")), 6)
+    best = Window.partitionBy("doc_id").orderBy(telling.desc(), "token")
+    return terms.join(often, "token").withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k).select("doc_id", "token")
+
+
+def cooccurrence(docs: DataFrame, k: int = 32, least: int = 3) -> DataFrame:
+    """(a, b, n): keywords that ``least`` documents or more have in common.
+
+    A document's ``k`` keywords are its concepts, so it makes at most k (k - 1) / 2
+    pairs whatever its length; ``all_cooccurrence`` counts the pairs of all words.
+    """
+    listed = keywords(docs, k).groupBy("doc_id").agg(F.array_sort(F.collect_list("token")).alias("ts"))
     later = lambda x, i: F.transform(F.slice("ts", i + 2, F.size("ts")), lambda y: F.struct(x.alias("a"), y.alias("b")))
     pairs = listed.select(F.explode(F.flatten(F.transform("ts", later))).alias("p"))
     return pairs.groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
@@ -71,7 +80,7 @@ def consolidate(spark: SparkSession, d: str) -> DataFrame:
     """
     docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
     known = docs.join(labels, "doc_id").groupBy("source").agg(F.avg(F.col("quality").cast("double")).alias("cred"))
-    weighted = docs.join(F.broadcast(known), "source", "left").withColumn("w", F.coalesce("cred", F.lit(1.0)))
+    weighted = docs.select("source", "n_chars").join(small(materialise(known, "known"), NAMES), "source", "left").withColumn("w", F.coalesce("cred", F.lit(1.0)))
     return weighted.groupBy("source").agg(
         F.count(F.lit(1)).alias("n_docs"), F.round(F.sum("w"), 4).alias("mass"), F.round(F.try_divide(F.sum(F.col("w") * F.col("n_chars")), F.sum("w")), 4).alias("mean_chars")
     )

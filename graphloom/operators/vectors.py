@@ -8,26 +8,11 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.functions.scalars import dot
 from graphloom.operators.ordering import ranked
 from graphloom.sources.shared import materialise
 from graphloom.sources.tables import table
 
 
-def neighbours(spark: SparkSession, d: str, queries: int = 10, k: int = 5) -> DataFrame:
-    """(query_id, vec_id, similarity, rank): the ``k`` nearest of the first ``queries`` vectors, by inner product.
-
-    The query set is fixed in number and broadcast; each task keeps its k best
-    of a query before anything is shuffled (a window group limit).
-    """
-    vectors = table(spark, d, "embeddings").select("vec_id", "embedding")
-    wanted = vectors.filter(F.col("vec_id") < queries).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    met = vectors.join(F.broadcast(wanted), F.col("vec_id") != F.col("query_id"))
-    scored = met.select("query_id", "vec_id", F.round(dot(F.col("q"), F.col("embedding")), 6).alias("similarity"))
-    best = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-
-
 #: Query vectors broadcast at once, and vectors that meet them at once: 32 MB of similarities.
 QUERIES = 4_096
 SLICE = 1_000

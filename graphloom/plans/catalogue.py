@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from graphloom import graph
 from graphloom.functions import embedding, scalars
-from graphloom.operators import folds, learning, lookup, ranking, structure, temporal, text, vectors
+from graphloom.operators import folds, insight, learning, lookup, ranking, structure, temporal, text, vectors
 from graphloom.operators.ordering import ranked
+from graphloom.plans import steps
 from graphloom.plans.oracles import ORACLES
 from graphloom.sources import artifacts
 from graphloom.sources.tables import table, union_signals
@@ -203,6 +204,7 @@ QUERIES = {
     "source_sink_role": lambda spark, d: structure.roles(graph.edges(spark, d)),
     "cross_domain_bridges": structure.bridges,
     "bottleneck_missing": structure.bottlenecks,
+    "bottleneck_rank": lambda spark, d: structure.bottleneck_rank(structure.bottlenecks(spark, d)),
     "cooccurrence": lambda spark, d: text.cooccurrence(table(spark, d, "documents")),
     "cooccurrence_all": lambda spark, d: text.all_cooccurrence(table(spark, d, "documents")),
     "credibility_consolidate": text.consolidate,
@@ -218,7 +220,6 @@ QUERIES = {
     "time_warp_split": temporal.time_warp,
     "retrospective_miss": lambda spark, d: temporal.retrospective(temporal.time_warp(spark, d)),
     "what_if": temporal.what_if,
-    "vector_neighbours": vectors.neighbours,
     "vector_search": vectors.search,
     "hash_embedder_seed": lambda spark, d: table(spark, d, "documents").select("doc_id", scalars.md5_seed(F.col("text")).alias("seed")),
     "hash_embedder": hash_embedder,
@@ -248,4 +249,18 @@ QUERIES = {
     "void_pressure": lambda spark, d: structure.void_pressure(structure.phantom_gaps(graph.strong(spark, d))),
 }
 
+QUERIES |= steps.QUERIES | {
+    "anchored_deliveries": insight.anchored,
+    "registered_dimensions": insight.registered,
+    "dormant_neighbours": insight.reactivated,
+    "discovery_gaps": insight.discovery_gaps,
+    "breakthrough_alerts": insight.breakthroughs,
+    "predictions": lambda spark, d: insight.shown_predictions(readiness(spark, d)),
+    "resource_readiness": insight.resource_readiness,
+    "communities": insight.communities,
+    "competitors": insight.competitors,
+    "stream_sliding": streams.sliding,
+    "stream_averages": streams.averages,
+}
+
 __all__ = ["ORACLES", "QUERIES"]

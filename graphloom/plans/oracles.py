@@ -129,13 +129,14 @@ SELECT coalesce(o.k, i.k) AS node_id, coalesce(o.n, 0) AS out_degree, coalesce(i
 WITH {SUPPLY}, e AS (SELECT s, p_type AS domain, count(*) AS k FROM strong JOIN part ON p_partkey = p GROUP BY 1, 2)
 SELECT a.domain AS domain_a, b.domain AS domain_b, count(*) AS n_suppliers, CAST(sum(a.k * b.k) AS BIGINT) AS n_links FROM e a JOIN e b ON a.s = b.s AND a.domain < b.domain GROUP BY 1, 2""",
     "bottleneck_missing": f"""
-WITH {SUPPLY}, have AS (SELECT DISTINCT s, p_type AS missing FROM strong JOIN part ON p_partkey = p),
-gone AS (SELECT s, missing FROM (SELECT DISTINCT s FROM have), (SELECT DISTINCT p_type AS missing FROM part) EXCEPT SELECT s, missing FROM have)
+WITH {SUPPLY}, have AS (SELECT DISTINCT s, p_brand || ' ' || p_type AS missing FROM strong JOIN part ON p_partkey = p),
+gone AS (SELECT s, missing FROM (SELECT DISTINCT s FROM have), (SELECT DISTINCT p_brand || ' ' || p_type AS missing FROM part) EXCEPT SELECT s, missing FROM have)
 SELECT s, missing, count(*) OVER (PARTITION BY missing) AS n_blocked FROM gone""",
     "cooccurrence": """
-WITH t AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS token FROM documents),
-f AS (SELECT token, count(*) AS df FROM t GROUP BY 1 HAVING count(*) BETWEEN 5 AND 20),
-k AS (SELECT doc_id, token FROM t JOIN f USING (token) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY df, token) <= 100)
+WITH t AS (SELECT doc_id, token, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS token FROM documents) GROUP BY 1, 2),
+f AS (SELECT token, count(*) AS df FROM t GROUP BY 1),
+k AS (SELECT doc_id, token FROM t JOIN f USING (token)
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(tf * ln((SELECT CAST(count(*) AS DOUBLE) FROM documents) / df), 6) DESC, token) <= 32)
 SELECT x.token AS a, y.token AS b, count(*) AS n FROM k x JOIN k y ON x.doc_id = y.doc_id AND x.token < y.token GROUP BY 1, 2 HAVING count(*) >= 3""",
     "credibility_consolidate": """
 WITH c AS (SELECT source, avg(CAST(quality AS DOUBLE)) AS cred FROM documents JOIN labels USING (doc_id) GROUP BY 1)
@@ -180,9 +181,9 @@ c AS (SELECT count(*) FILTER (WHERE p AND h) AS hits, count(*) FILTER (WHERE NOT
 SELECT *, round(hits / CAST(nullif(hits + false_alarms, 0) AS DOUBLE), 6) AS precision, round(hits / CAST(nullif(hits + missed, 0) AS DOUBLE), 6) AS recall FROM c""",
     "what_if": """
 SELECT CAST(s AS INTEGER) AS scenario, count(*) AS n, round(avg(value), 6) AS mean_value FROM events, (SELECT unnest(range(100)) AS s) WHERE (event_id * 7919 + s * 104729) % 1000 < 500 GROUP BY 1""",
-    "vector_neighbours": """
+    "vector_search": """
 WITH x AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
-s AS (SELECT q.vec_id AS query_id, x.vec_id, round(list_dot_product(q.v, x.v), 6) AS similarity FROM x, x q WHERE q.vec_id < 10 AND q.vec_id <> x.vec_id)
+s AS (SELECT q.vec_id AS query_id, x.vec_id, round(list_dot_product(q.v, x.v), 6) AS similarity FROM x, x q WHERE q.vec_id % 20 = 0 AND q.vec_id <> x.vec_id)
 SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM s QUALIFY rank <= 5""",
     "hash_embedder_seed": "SELECT doc_id, CAST('0x' || right(md5(text), 8) AS BIGINT) AS seed FROM documents",
     "rolling_loss": f"WITH {SERIES} SELECT epoch, i, round(avg(loss) OVER (PARTITION BY epoch ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), 6) AS mean_loss FROM series",
@@ -190,13 +191,13 @@ SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec
 WITH {SERIES} SELECT epoch, i, loss, loss < coalesce(min(loss) OVER (PARTITION BY epoch ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 'infinity') AS improved FROM series""",
     "ema_series": f"""
 WITH RECURSIVE {SERIES}, f AS (SELECT epoch, i, loss AS e FROM series WHERE i = 0
-  UNION ALL SELECT s.epoch, s.i, CAST(0.9 AS DOUBLE) * f.e + (1 - CAST(0.9 AS DOUBLE)) * s.loss FROM f JOIN series s ON s.epoch = f.epoch AND s.i = f.i + 1 WHERE s.i < 200)
+  UNION ALL SELECT s.epoch, s.i, CAST(0.9 AS DOUBLE) * f.e + (1 - CAST(0.9 AS DOUBLE)) * s.loss FROM f JOIN series s ON s.epoch = f.epoch AND s.i = f.i + 1)
 SELECT epoch, CAST(max(i) + 1 AS INTEGER) AS n, round(arg_max(e, i), 6) AS ema FROM f GROUP BY epoch""",
     "early_stopping": f"""
 WITH RECURSIVE {SERIES}, f AS (SELECT epoch, i, loss AS best, 0 AS bad, -1 AS stop FROM series WHERE i = 0
   UNION ALL SELECT s.epoch, s.i, CASE WHEN s.loss < best - 0.00001 THEN s.loss ELSE best END, CASE WHEN s.loss < best - 0.00001 THEN 0 ELSE bad + 1 END,
     CASE WHEN s.loss < best - 0.00001 THEN -1 WHEN bad + 1 >= 10 THEN CAST(s.i AS INTEGER) ELSE -1 END
-  FROM f JOIN series s ON s.epoch = f.epoch AND s.i = f.i + 1 WHERE s.i < 200 AND f.stop < 0)
+  FROM f JOIN series s ON s.epoch = f.epoch AND s.i = f.i + 1 WHERE f.stop < 0)
 SELECT epoch, arg_max(stop, i) AS stopped_at, arg_max(best, i) AS best FROM f GROUP BY epoch""",
     "lr_schedule": """
 SELECT e AS epoch, round(CASE WHEN e < 5 THEN 0.0001 * (0.001 + 0.999 * e / 5) ELSE 0.0000001 + (0.0001 - 0.0000001) * (1 + cos(pi() * (e - 5) / 95)) / 2 END, 12) AS lr FROM (SELECT unnest(range(100)) AS e)""",
@@ -244,7 +245,7 @@ v0 AS (SELECT node_id, CASE WHEN ts_sec <> 0 THEN (CAST(trunc(ts_sec / 31536000.
 n1 AS (SELECT tgt, avg(a) AS a, avg(b) AS b, avg(c) AS c FROM both_ways JOIN v0 ON node_id = src GROUP BY 1),
 v1 AS (SELECT node_id, (v0.a + coalesce(n1.a, v0.a)) / 2 AS a, (v0.b + coalesce(n1.b, v0.b)) / 2 AS b, (v0.c + coalesce(n1.c, v0.c)) / 2 AS c FROM v0 LEFT JOIN n1 ON tgt = node_id),
 n2 AS (SELECT tgt, avg(a) AS a, avg(b) AS b, avg(c) AS c FROM both_ways JOIN v1 ON node_id = src GROUP BY 1)
-SELECT node_id, round((v1.a + coalesce(n2.a, v1.a)) / 2, 6) AS a, round((v1.b + coalesce(n2.b, v1.b)) / 2, 6) AS b, round((v1.c + coalesce(n2.c, v1.c)) / 2, 6) AS c FROM v1 LEFT JOIN n2 ON tgt = node_id""",
+SELECT node_id, round((v1.a + coalesce(n2.a, v1.a)) / 2 + 1e-10, 6) AS a, round((v1.b + coalesce(n2.b, v1.b)) / 2 + 1e-10, 6) AS b, round((v1.c + coalesce(n2.c, v1.c)) / 2 + 1e-10, 6) AS c FROM v1 LEFT JOIN n2 ON tgt = node_id""",
     "topology_features": f"""
 WITH {NODES}, {SUPPLY}, t AS (SELECT 'S' || suppkey AS k, count(*) AS degree, CAST(sum(n_obs) AS BIGINT) AS strength, round(avg(total_weight), 4) AS mean_weight FROM supply GROUP BY 1
   UNION ALL SELECT 'P' || partkey, count(*), CAST(sum(n_obs) AS BIGINT), round(avg(total_weight), 4) FROM supply GROUP BY 1)
@@ -270,3 +271,99 @@ SELECT 'ext' AS subsystem, 'entropy_alerts' AS metric, count(*) AS value FROM ({
 UNION ALL SELECT 'dyn', 'pre_breakthrough_candidates', count(*) FROM ({ORACLES["pre_breakthrough"]}) WHERE candidate
 UNION ALL SELECT 'dyn', 'total_virtual_nodes', count(*) FROM (WITH {SUPPLY}, {GAPS} SELECT * FROM gaps)
 UNION ALL SELECT 'topo', 'rupture_count', count(*) FROM ({ORACLES["rupture_nodes"]}) WHERE ruptured"""
+
+ORACLES["forecast_scenario"] = f"""
+WITH f AS ({ORACLES["recursive_forecast"]}), b AS (SELECT depth, max(confidence) AS best FROM f GROUP BY 1)
+SELECT round(exp(avg(ln(best))), 6) AS coherence_score, round(1 - exp(avg(ln(best))), 6) AS collapse_probability, CAST(count(*) AS INTEGER) AS depth,
+  CAST(least(5, (SELECT count(*) FROM f)) AS INTEGER) AS n_shown FROM b"""
+ORACLES["bottleneck_rank"] = f"""
+SELECT row_number() OVER (ORDER BY n_blocked DESC, missing) AS rank, * FROM (SELECT missing, count(*) AS n_blocked FROM ({ORACLES["bottleneck_missing"]}) GROUP BY 1) ORDER BY n_blocked DESC, missing LIMIT 10"""
+
+#: Deliveries of the live graph's first 24 months.
+LIVE = f"""
+live AS (SELECT 'S' || l_suppkey AS src, 'P' || l_partkey AS tgt, l_suppkey % 5 * 0.25 + 1 AS zone, count(*) AS n_obs, round(sum(l_extendedprice * (1 - l_discount)), 4) AS total_weight
+  FROM lineitem WHERE {MONTHS.format("l_shipdate")} < (SELECT min({MONTHS.format("l_shipdate")}) FROM lineitem) + 24 GROUP BY 1, 2, 3),
+examples AS (SELECT src, tgt, CAST(CASE WHEN n_obs >= 2 THEN 1 ELSE 0 END AS DOUBLE) AS y, CASE WHEN total_weight > 0 THEN CAST(0.1 AS DOUBLE) ELSE 0 END AS a,
+  CASE WHEN total_weight > 0 THEN ln(1 + total_weight) ELSE 0 END AS b, CASE WHEN total_weight > 0 THEN CAST(zone AS DOUBLE) ELSE 0 END AS c FROM live)"""
+
+ORACLES |= {
+    "edge_text_match": f"""
+WITH {NODES}, {SUPPLY}, {EDGES}, texts(src, tgt) AS (VALUES ('supplier#000000000', 'nation_3'), ('Widget', 'zzz'), ('zzz', 'qqq'), ('SUPPLIER#000000001', 'supplier#000000002'), ('nation_1', 'asia')),
+m AS (SELECT t.src, t.tgt, node_id, row_number() OVER (PARTITION BY t.src, t.tgt ORDER BY seq) AS r FROM texts t, kg_nodes WHERE contains(lower(text), lower(t.src)) OR contains(lower(text), lower(t.tgt))),
+e AS (SELECT x.src, x.tgt, x.node_id AS a, y.node_id AS b FROM m x JOIN m y ON x.src = y.src AND x.tgt = y.tgt AND x.r = 1 AND y.r = 2)
+SELECT e.src, e.tgt, a, b, CASE WHEN f.src IS NOT NULL THEN 'forward' WHEN r.src IS NOT NULL THEN 'reverse' ELSE 'none' END AS direction, coalesce(f.total_weight, r.total_weight) AS total_weight
+FROM e LEFT JOIN kg_edges f ON f.src = a AND f.tgt = b LEFT JOIN kg_edges r ON r.src = b AND r.tgt = a""",
+    "edge_vectors": f"""
+WITH {SUPPLY} SELECT 'S' || suppkey AS src, 'P' || partkey AS tgt, CASE WHEN total_weight > 0 THEN round(n_obs / CAST(10 AS DOUBLE), 6) ELSE 0 END AS a,
+  CASE WHEN total_weight > 0 THEN round(ln(1 + total_weight), 6) ELSE 0 END AS b, CASE WHEN total_weight > 0 THEN CAST(1 + suppkey % 5 * 0.25 AS DOUBLE) ELSE 0 END AS c
+FROM supply JOIN supplier ON s_suppkey = suppkey JOIN part ON p_partkey = partkey""",
+    "forecast_scores": f"""
+WITH v AS ({ORACLES["node_vectors"]}) SELECT node_id, round(1 / (1 + exp(1.5 - a - 0.5 * b - 0.25 * c)), 6) AS score FROM v""",
+    "training_set": f"WITH {LIVE} SELECT src, tgt, y, round(a, 6) AS a, round(b, 6) AS b, round(c, 6) AS c FROM examples",
+    "training_losses": f"WITH {LIVE} SELECT 'all' AS part, count(*) AS n, round(ln(2), 6) AS loss, round(avg(0.5 - y), 6) AS g0, round(avg((0.5 - y) * a), 6) AS g1 FROM examples",
+    "averaged_weights": """
+WITH m AS (SELECT 'S' || l_suppkey AS name, avg(l_discount) FILTER (WHERE l_shipdate < TIMESTAMP '1998-01-01') AS p, avg(l_discount) FILTER (WHERE l_shipdate >= TIMESTAMP '1998-01-01') AS q FROM lineitem GROUP BY 1)
+SELECT name, round(0.9 * p + (1 - CAST(0.9 AS DOUBLE)) * q, 6) AS value FROM m WHERE p IS NOT NULL AND q IS NOT NULL""",
+    "trainable_size": "SELECT p_brand AS module, CAST(sum(CASE WHEN p_retailprice >= 1200 THEN p_size ELSE 0 END) AS BIGINT) AS n_trainable, CAST(sum(p_size) AS BIGINT) AS n_all FROM part GROUP BY 1",
+    "number_formats": """
+WITH x AS (SELECT s_suppkey, s_suppkey / CAST(7 AS DOUBLE) AS x, s_suppkey * 86461 + 1700000000 AS t FROM supplier)
+SELECT s_suppkey, printf('%.1f%%', x * 100) AS percent, printf('%.3f', x) AS three, printf('%.3e', x) AS scientific, printf('%04d', s_suppkey) AS padded, format('{:,}', s_suppkey * 12345) AS thousands,
+  printf('%.2f', x) || ', ' || printf('%.2f', x * 2) AS joined, t AS epoch_seconds, strftime(make_timestamp(t * 1000000), '%Y-%m-%dT%H:%M:%S') AS iso FROM x""",
+    "time_left": """
+WITH e AS (SELECT user_id AS epoch, row_number() OVER w - 1 AS i, CAST(trunc((epoch_us(ts) - epoch_us(first_value(ts) OVER w)) / 1000000.0) AS BIGINT) AS elapsed, count(*) OVER (PARTITION BY user_id) AS k
+  FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+SELECT epoch, i, round(elapsed / ((i + 1) / CAST(k AS DOUBLE)) * (1 - (i + 1) / CAST(k AS DOUBLE)), 4) AS eta FROM e""",
+    "total_loss": """
+SELECT l_returnflag AS batch, round(avg(l_discount) + 0.5 * avg(l_tax) + 0.25 * avg(l_quantity / 50) + avg(l_linenumber / CAST(7 AS DOUBLE)), 6) AS total FROM lineitem GROUP BY 1""",
+    "component_zip": """
+SELECT s_suppkey AS s, 'balance' AS name, s_acctbal AS value FROM supplier UNION ALL SELECT s_suppkey, 'nation', CAST(s_nationkey AS DOUBLE) FROM supplier WHERE s_suppkey % 2 = 0""",
+    "readiness_gate": f"WITH {NODES} SELECT CAST(l AS BIGINT) AS least, (SELECT count(*) FROM kg_nodes) >= l AS ready FROM (VALUES (20), (100000000)) v(l)",
+    "checkpoint_choice": """
+SELECT 'checkpoint_epoch_' || o_orderkey AS name, CAST(0 AS INTEGER) AS epoch, o_orderkey AS global_step FROM orders ORDER BY o_orderdate DESC, 'checkpoint_epoch_' || o_orderkey LIMIT 1""",
+    "unit_vectors": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x * 3 AS DOUBLE)) AS v FROM embeddings), n AS (SELECT *, sqrt(list_dot_product(v, v)) + 1e-8 AS n FROM v)
+SELECT vec_id, round(v[1] / n, 5) AS first, round(list_dot_product(v, v) / (n * n), 5) AS norm FROM n""",
+    "first_candidates": f"SELECT brand, month, acceleration FROM ({ORACLES['pre_breakthrough']}) WHERE candidate ORDER BY brand, month LIMIT 7",
+    "score_bars": f"""
+WITH {NODES}, {SUPPLY}, {WEIGHTS}, t AS (SELECT row_number() OVER (ORDER BY weight DESC, seq) AS rank, node_id, weight FROM scores ORDER BY weight DESC, seq LIMIT 10)
+SELECT rank, node_id, round(weight / CAST(max(weight) OVER () AS DOUBLE), 6) AS share, repeat('#', CAST(trunc(weight / CAST(max(weight) OVER () AS DOUBLE) * 20) AS INTEGER)) AS bar FROM t""",
+    "anchored_deliveries": """
+WITH f AS (SELECT l_suppkey AS s, l_partkey AS p, min(l_shipdate) AS first FROM lineitem GROUP BY 1, 2)
+SELECT s, p, strftime(first, '%Y-%m-%d') AS first FROM f n WHERE EXISTS (SELECT 1 FROM f x WHERE x.s = n.s AND x.first < n.first)""",
+    "registered_dimensions": """
+SELECT doc_id, CASE WHEN source IS NOT NULL THEN dense_rank() OVER (ORDER BY source NULLS LAST) - 1 END AS source_id, CASE WHEN lang IS NOT NULL THEN dense_rank() OVER (ORDER BY lang NULLS LAST) - 1 END AS lang_id FROM documents""",
+    "dormant_neighbours": """
+WITH g AS (SELECT event_id, user_id, CAST(trunc((epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id))) / 1000000.0) AS BIGINT) AS gap_seconds,
+  CAST(trunc((epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id % 10 ORDER BY ts, event_id))) / 1000000.0) AS BIGINT) AS neighbour_gap FROM events)
+SELECT *, coalesce(gap_seconds >= 172800 AND neighbour_gap <= 86400, FALSE) AS reactivated FROM g""",
+    "discovery_gaps": """
+WITH f AS (SELECT p_brand AS brand, l_suppkey AS s, min(l_shipdate) AS first FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1, 2),
+g AS (SELECT brand, s, first, CAST(trunc((epoch_us(first) - epoch_us(lag(first) OVER (PARTITION BY brand ORDER BY first, s))) / 1000000.0) AS BIGINT) AS gap_seconds FROM f)
+SELECT brand, s, gap_seconds, coalesce(gap_seconds < lag(gap_seconds) OVER (PARTITION BY brand ORDER BY first, s), FALSE) AS shrinking FROM g""",
+    "breakthrough_alerts": f"""
+WITH c AS ({ORACLES["convergence_score"]}) SELECT brand, year, score, coalesce(score >= 1000, FALSE) AS alert, CASE WHEN score >= 1000 THEN year * 12 + 23 END AS from_month, CASE WHEN score >= 1000 THEN year * 12 + 35 END AS to_month FROM c""",
+    "predictions": f"""
+WITH r AS ({ORACLES["readiness"]}), n AS (SELECT *, CAST(structural AS INTEGER) + CAST(cultural AS INTEGER) + CAST(resource AS INTEGER) + CAST(temporal AS INTEGER) AS k FROM r),
+w AS (SELECT *, CAST(trunc(36 - k / 4.0 * 18) AS INTEGER) AS opens FROM n)
+SELECT domain, round(CAST(25 AS DOUBLE) * k, 2) AS probability, opens, opens + 18 AS closes,
+  concat_ws(', ', CASE WHEN NOT structural THEN 'structural' END, CASE WHEN NOT cultural THEN 'cultural' END, CASE WHEN NOT resource THEN 'resource' END, CASE WHEN NOT temporal THEN 'temporal' END) AS prerequisites,
+  concat_ws(', ', CASE WHEN structural THEN 'structural' END, CASE WHEN cultural THEN 'cultural' END, CASE WHEN resource THEN 'resource' END, CASE WHEN temporal THEN 'temporal' END) AS conditions FROM w""",
+    "resource_readiness": """
+WITH y AS (SELECT p_brand AS brand, year(l_shipdate) AS year, sum(l_extendedprice) / sum(l_quantity) AS price FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1, 2),
+e AS (SELECT brand, arg_min(price, year) AS f, arg_max(price, year) AS l FROM y GROUP BY 1) SELECT brand, round(f, 4) AS first_price, round(l, 4) AS last_price, round(l / f, 6) AS ratio FROM e""",
+    "communities": f"""
+WITH {SUPPLY}, links AS (SELECT a.s, b.s AS t FROM strong a JOIN strong b ON a.p = b.p AND a.s <> b.s GROUP BY 1, 2 HAVING count(*) >= 4),
+l0 AS (SELECT DISTINCT s, s AS label FROM links),
+l1 AS (SELECT s, label FROM (SELECT links.s, label, count(*) AS k FROM links JOIN l0 ON l0.s = t GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY s ORDER BY k DESC, label) = 1),
+l2 AS (SELECT s, label FROM (SELECT links.s, label, count(*) AS k FROM links JOIN l1 ON l1.s = t GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY s ORDER BY k DESC, label) = 1),
+l3 AS (SELECT s, label FROM (SELECT links.s, label, count(*) AS k FROM links JOIN l2 ON l2.s = t GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY s ORDER BY k DESC, label) = 1),
+n AS (SELECT label, count(*) AS n FROM l3 GROUP BY 1),
+i AS (SELECT x.label, count(*) AS n_links FROM links JOIN l3 x ON x.s = links.s JOIN l3 y ON y.s = links.t WHERE links.s < links.t AND x.label = y.label GROUP BY 1)
+SELECT n.label AS community, n, coalesce(n_links, 0) AS n_links, round(2 * coalesce(n_links, 0) / CAST(nullif(n * (n - 1), 0) AS DOUBLE), 6) AS density,
+  coalesce(2 * coalesce(n_links, 0) / CAST(nullif(n * (n - 1), 0) AS DOUBLE) >= 0.25, FALSE) AS emerging FROM n LEFT JOIN i ON i.label = n.label""",
+    "competitors": """
+SELECT p_brand AS brand, count(DISTINCT l_suppkey) AS n_labs, count(*) AS n_mentions, round(avg(CASE WHEN l_discount > 0.05 THEN CAST(1 AS DOUBLE) ELSE 0 END), 6) AS share_positive FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1""",
+    "stream_sliding": """
+WITH w AS (SELECT time_bucket(INTERVAL 6 HOUR, ts) - k * INTERVAL 6 HOUR AS start FROM events, (SELECT unnest(range(4)) AS k)) SELECT strftime(start, '%Y-%m-%d %H') AS start, count(*) AS n FROM w GROUP BY 1""",
+    "stream_averages": ORACLES["ema_series"],
+}

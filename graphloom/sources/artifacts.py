@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from graphloom.config import RECORDED
 from graphloom.sources.tables import require
 
 #: Metadata layouts a checkpoint table may have.
@@ -12,8 +13,6 @@ LAYOUTS = {"full": {"model_state", "optimizer_state"}, "weights": {"weights"}}
 #: Names tried in this order before the newest periodic checkpoint (fixed values).
 PRIORITY = ("best_model.pt", "best_model_ema.pt", "final_model.pt")
 PERIODIC = "checkpoint_epoch_"
-#: Configuration keys that a run keeps (any list may be given instead).
-CONFIG_KEYS = ("top_k", "threshold", "n_paths", "depth", "graph_steps")
 
 
 def layout(df: DataFrame) -> str:
@@ -42,7 +41,7 @@ def expired(files: DataFrame, keep: int) -> DataFrame:
     return files.withColumn("age", F.row_number().over(newest)).filter((F.col("age") > keep) & F.lit(keep > 0))
 
 
-def run_config(spark: SparkSession, values: dict[str, str], keys: tuple[str, ...] = CONFIG_KEYS) -> DataFrame:
+def run_config(spark: SparkSession, values: dict[str, str], keys: tuple[str, ...] = RECORDED) -> DataFrame:
     """One row: the whitelisted part of ``values`` and all of it as JSON."""
     pairs = F.create_map(*[F.lit(x) for kv in sorted(values.items()) for x in kv])
     kept = F.map_filter(pairs, lambda k, _: k.isin(*keys))

@@ -90,8 +90,8 @@ def test_layouts_resume_and_config(spark, tmp_path):
     with pytest.raises(ValueError):
         artifacts.layout(spark.range(1))
     assert tuple(artifacts.resume(df).first()) == (0, 0, float("inf"))
-    row = artifacts.run_config(spark, {"top_k": "10", "secret": "x"}).first()
-    assert row["config"] == {"top_k": "10"} and "secret" in row["args"]
+    row = artifacts.run_config(spark, {"phantom_max_count": "10", "secret": "x"}).first()
+    assert row["config"] == {"phantom_max_count": "10"} and "secret" in row["args"]
     artifacts.write_json(spark.range(9), f"{tmp_path}/out", 3, [F.desc("id")])
     assert sorted(r.id for r in spark.read.json(f"{tmp_path}/out").collect()) == [6, 7, 8]
 

@@ -53,3 +53,16 @@ def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(range(41), 0), **dict.fromkeys(range(100, 130), 100)}
+
+
+def test_hubs_long_texts_and_clashing_names(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(neardup, "CHUNK", 4)
+    long = " ".join(f"v{i}" for i in range(30_000))
+    rows = [(i, t) for i, t in enumerate(family(7, 50, 90, 6) + [long, long + " x", None, ""])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    clash = df.select("*", *[F.lit("clash").alias(c) for c in ("n", "rep", "h1", "mins", "hashes", "share", "key", "component", "kept")])
+    want = brute_components(rows)
+    got = neardup.near_duplicates(clash).collect()
+    assert {r.doc_id: r.component_id for r in got} == want and list(want.values()).count(0) > 20

@@ -46,3 +46,14 @@ def test_magic_fake_records_and_copies(spark):
 
 def test_no_pages(spark):
     assert round_trip(spark, []) == []
+
+
+def test_clashing_names_long_pages_and_repeats(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    long = "<p>" + "é " * 300_000 + FAKE + "</p>"
+    rows = [(1, "u", long), (2, "u", long), (2, "u", long), (None, None, long), (3, None, None), (4, "u", "x" * 99), (5, "u", "x" * 99), (6, "u", "x" * 100), (7, "u", "x" * 100)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").select("*", *[F.lit("clash").alias(c) for c in ("bytes", "digest", "refers_to", "first_id", "_digest", "file", "block", "value")])
+    df.write.parquet(f"{tmp_path}/pages.parquet")
+    got = warc.op4_warc(spark, str(tmp_path)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    assert sorted(map(tuple, got.collect()), key=str) == expected(rows)

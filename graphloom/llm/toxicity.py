@@ -44,42 +44,44 @@ FEATURES = (
 )
 
 
-class Lexicon:
-    def __init__(self, words: dict[str, float], stems: dict[str, float]) -> None:
-        self.words, self.stems = words, stems
+class Parsed:
+    """What a text's features need of it, whatever the lexicon."""
 
-    def features(self, text: str) -> list[float]:
+    def __init__(self, text: str) -> None:
         low = text.lower()
-        words = WORDS.findall(low)
-        n = len(words) or 1
-        lex = self.words
-        hits = [i for i, w in enumerate(words) if w in lex]
-        weight = sum(lex[words[i]] for i in hits)
-        stems = self.stems
-        stem_at, stem_weight = [], 0.0
-        if stems:
-            for size in STEMS:
-                for i, w in enumerate([w[:size] for w in words]):
-                    if w in stems and len(words[i]) >= size:
-                        stem_at.append(i)
-                        stem_weight += stems[w]
+        self.words = words = WORDS.findall(low)
+        self.beginnings = [(size, [w[:size] if len(w) >= size else "" for w in words]) for size in STEMS]
         you = [i for i, w in enumerate(words) if w in SECOND_PERSON]
-        marked = sorted({*hits, *stem_at})
-        near = 0
-        if you and marked:
-            close = {i + d for i in you for d in range(-NEAR, NEAR + 1)}
-            near = sum(i in close for i in marked)
-        size = len(text) or 1
-        upper = sum(map(str.isupper, text))
+        self.close = {i + d for i in you for d in range(-NEAR, NEAR + 1)}
+        self.disguised = [w.strip("*#").translate(LEET) for w in DISGUISED.findall(low)]
+        self.spelled = [re.sub(r"[ .\-_*]", "", w) for w in SPELLED.findall(low)]
+        n, upper = len(words) or 1, sum(map(str.isupper, text))
         shouted = len(re.findall(r"\b[A-ZÀ-ÖØ-Þ]{3,}\b", text)) if upper else 0
-        disguised = DISGUISED.findall(low)
-        revealed = sum(w.strip("*#").translate(LEET) in lex for w in disguised)
-        spelled = sum(re.sub(r"[ .\-_*]", "", w) in lex for w in SPELLED.findall(low))
-        marks = text.count("!"), text.count("?")
         points = sum(map(text.count, ".,;:!?"))
+        self.own = [
+            len(you) / n, upper / (len(text) or 1), shouted / n, text.count("!") / n, text.count("?") / n, points / n, len(self.disguised) / n,
+        ]
+
+
+class Lexicon:
+    def __init__(self, words: dict[str, float], stems: dict[str, float]) -> None:
+        self.words, self.stems = words, stems
+
+    def features(self, text: str) -> list[float]:
+        return self.of(Parsed(text))
+
+    def of(self, text: Parsed) -> list[float]:
+        lex, stems = self.words, self.stems
+        n = len(text.words) or 1
+        hits = [i for i, w in enumerate(text.words) if w in lex]
+        weight = sum(lex[text.words[i]] for i in hits)
+        begun = [(i, w) for _, beginnings in text.beginnings for i, w in enumerate(beginnings) if w in stems] if stems else []
+        stem_weight = sum(stems[w] for _, w in begun)
+        marked = {*hits, *[i for i, _ in begun]}
+        near = len(marked & text.close)
+        hidden = sum(w in lex for w in text.disguised) + sum(w in lex for w in text.spelled)
         return [
-            len(hits), len(hits) / n, weight / n, len(stem_at), len(stem_at) / n, stem_weight / n, near, near / (len(marked) or 1),
-            len(you) / n, upper / size, shouted / n, marks[0] / n, marks[1] / n, points / n, len(disguised) / n, revealed + spelled,
+            len(hits), len(hits) / n, weight / n, len(begun), len(begun) / n, stem_weight / n, near, near / (len(marked) or 1), *text.own, hidden,
         ]
 
 
@@ -133,7 +135,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
         fold = F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int").alias("fold")
         drawn = materialise(sample(docs, labels, "toxic", rows).select("*", fold), "toxic-sample")
         lexicons = learn_lexicons(drawn, ENTRIES * rows)
-        views = lambda texts: [[[x for lexicon in lexicons for x in lexicon.features(t)] for t in texts]]
+        views = lambda texts: [[[x for lexicon in lexicons for x in lexicon.of(t)] for t in map(Parsed, texts)]]
         viewed = map_texts(drawn, ["doc_id", "y", "fold"], views, "x array<double>")
         got = sorted((r["doc_id"], r["y"], r["fold"], r["x"]) for r in viewed.collect())
     x = np.array([r[3] for r in got], float).reshape(-1, FOLDS + 1, len(FEATURES))

@@ -7,12 +7,12 @@ and hashes the tuple, so a coordinate of two texts agrees when they share those
 elements *in the same order*: likeness falls with edit distance, not only with
 the k-mer sets' difference.
 
-The coordinates' orders are circulant permutations: all elements get one hash,
-and coordinate j starts its order at an anchor a_j on the hash circle, wrapping
-round.  One sort of the hashes then serves all coordinates: those of anchor j
-are the next ``L`` elements from a_j on.  A text of n elements has at most n
-distinct coordinates, so likeness is coarse for texts of a few dozen words: of 64
-coordinates about 6 differ under 20 words, about 20 under 40.
+The coordinates' orders are circulant permutations of ``ORDERS`` independent
+ones: elements get one hash an order, and a coordinate starts its order at an
+anchor on the hash circle, wrapping round.  One sort of the hashes then serves
+all coordinates of an order: those of an anchor are the next ``L`` elements from
+there on.  A text of n elements has at most n distinct coordinates an order, so
+likeness is coarser for texts of less than ``COORDINATES / ORDERS`` elements.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ K = 3
 #: ``coordinate`` orders a pair.
 L = 2
 COORDINATES = 64
+#: Independent orders, each read from COORDINATES / ORDERS anchors.
+ORDERS = 4
 #: Longer words are cut, each by itself, so that texts without blanks have many tokens too.
 TOKEN = 24
 #: The "next document" pass deals documents to at most so many buckets of consecutive ids.
@@ -76,7 +78,25 @@ def _numbered(pack: Column) -> Column:
 
 def anchors() -> list[int]:
     """Evenly spaced starting points on the circle of packed hashes."""
-    return [(j * (1 << HASH_BITS) // COORDINATES) << AT_BITS for j in range(COORDINATES)]
+    each = COORDINATES // ORDERS
+    return [(j * (1 << HASH_BITS) // each) << AT_BITS for j in range(each)]
+
+
+def _reordered(s: Column, order: int) -> Column:
+    """Packed elements in another random order (order 0: as they are)."""
+    if not order:
+        return s
+    return F.sort_array(F.transform(s, lambda x: F.xxhash64(high(x), F.lit(-order)).bitwiseAND(F.lit(HASH_MASK)).bitwiseOR(low(x))))
+
+
+def _coordinate(s: Column):
+    """Function of a count of packed elements below an anchor: hash of the ``L`` elements of ``s`` from there on, in text order."""
+
+    def of(below: Column) -> Column:
+        a, b = (s[F.pmod(below + i, F.size(s))] for i in range(L))
+        return F.when(low(a) <= low(b), F.hash(high(a), high(b))).otherwise(F.hash(high(b), high(a)))
+
+    return of
 
 
 def with_fingerprint(df: DataFrame, text: Column, name: str) -> DataFrame:
@@ -89,19 +109,20 @@ def with_fingerprint(df: DataFrame, text: Column, name: str) -> DataFrame:
     out = with_tokens(df, text, f"{t}w")
     out = out.withColumn(f"{t}p", kmers(F.col(f"{t}w"))).drop(f"{t}w")
     out = out.withColumn(f"{t}s", _numbered(F.col(f"{t}p"))).drop(f"{t}p")
-    s = F.col(f"{t}s")
-    n = F.size(s)
-    # anchors sorted in among the elements: an anchor's place less the anchors before it counts the elements below it
     marks = anchors()
-    out = out.withColumn(f"{t}m", F.sort_array(F.concat(s, F.array(*[F.lit(a) for a in marks]))))
-    out = out.withColumn(f"{t}b", F.array(*[(F.array_position(f"{t}m", F.lit(a)) - (1 + j)).cast("int") for j, a in enumerate(marks)])).drop(f"{t}m")
-
-    def coordinate(below: Column) -> Column:
-        a, b = (s[F.pmod(below + i, n)] for i in range(L))
-        return F.when(low(a) <= low(b), F.hash(high(a), high(b))).otherwise(F.hash(high(b), high(a)))
-
-    print_ = F.when(n > 0, F.transform(f"{t}b", coordinate)).otherwise(F.array().cast("array<int>"))
-    return out.withColumn(name, print_).drop(f"{t}s", f"{t}b")
+    prints = []
+    for order in range(ORDERS):
+        s = F.col(f"{t}o")
+        out = out.withColumn(f"{t}o", _reordered(F.col(f"{t}s"), order))
+        # anchors sorted in among the elements: an anchor's place less the anchors before it counts the elements below it
+        out = out.withColumn(f"{t}m", F.sort_array(F.concat(s, F.array(*[F.lit(a) for a in marks]))))
+        below = [(F.array_position(f"{t}m", F.lit(a)) - (1 + j)).cast("int") for j, a in enumerate(marks)]
+        out = out.withColumn(f"{t}b", F.array(*below)).drop(f"{t}m")
+
+        prints.append(f"{t}{order}")
+        found = F.when(F.size(s) > 0, F.transform(f"{t}b", _coordinate(s))).otherwise(F.array().cast("array<int>"))
+        out = out.withColumn(prints[-1], found).drop(f"{t}o", f"{t}b")
+    return out.withColumn(name, F.concat(*prints)).drop(f"{t}s", *prints)
 
 
 def likeness(a: Column, b: Column) -> Column:

@@ -86,8 +86,8 @@ def murmur(*longs):
     return seed - (1 << 32) * (seed >> 31)
 
 
-def order_min_hash(text, k=3, size=2, coordinates=64, longest=24):
-    """List of 32-bit numbers: of every rotation of the order, the least elements in text order."""
+def order_min_hash(text, k=3, size=2, coordinates=64, longest=24, orders=4):
+    """List of 32-bit numbers: of every rotation of every order, the least elements in text order."""
     tokens = [w[i : i + longest] for w in WORD.findall(text or "") for i in range(0, len(w), longest)]
     if not tokens:
         return []
@@ -98,13 +98,14 @@ def order_min_hash(text, k=3, size=2, coordinates=64, longest=24):
         name = xx(*gram) >> 31 & mask
         n, seen[name] = seen[name], seen[name] + 1
         elements.append((xx(name, ("int", n)) >> 31 & mask if n else name, at))
-    elements.sort()
-    out = []
-    for j in range(coordinates):
-        anchor = j * (1 << 32) // coordinates
-        below = sum(e[0] < anchor for e in elements)
-        chosen = [elements[(below + i) % len(elements)] for i in range(size)]
-        out.append(murmur(*[e[0] for e in sorted(chosen, key=lambda e: e[1])]))
+    out, each = [], coordinates // orders
+    for order in range(orders):
+        dealt = sorted((xx(name, ("int", -order)) >> 31 & mask if order else name, at) for name, at in elements)
+        for j in range(each):
+            anchor = j * (1 << 32) // each
+            below = sum(e[0] < anchor for e in dealt)
+            chosen = [dealt[(below + i) % len(dealt)] for i in range(size)]
+            out.append(murmur(*[e[0] for e in sorted(chosen, key=lambda e: e[1])]))
     return out
 
 

@@ -77,3 +77,9 @@ def test_words_about_the_cut_length_stay_alike(spark):
     rows = [(1, " ".join(base)), (2, " ".join(near)), (3, " ".join(w + "z" for w in base[:40]) + " " + " ".join(base[40:]))]
     p = {r.id: r.p for r in fp.with_fingerprint(spark.createDataFrame(rows, "id long, text string"), F.col("text"), "p").collect()}
     assert alike(p[1], p[2]) > 0.8 and alike(p[1], p[3]) > 0.4
+
+
+def test_short_texts_have_many_distinct_coordinates(spark):
+    rows = [(" ".join(f"w{n}x{i}" for i in range(18)),) for n in range(40)]
+    prints = [r.p for r in fp.with_fingerprint(spark.createDataFrame(rows, "text string"), F.col("text"), "p").collect()]
+    assert sum(len(set(p)) for p in prints) / len(prints) > 20

@@ -172,7 +172,8 @@ def postings(classes: DataFrame) -> DataFrame:
     ``common`` measures how frequent all its values are.
     """
     every = classes.select("rep", F.explode(F.transform("mins", lambda v, j: F.shiftleft(j.cast("long"), 32).bitwiseOR(v.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))))).alias("key"))
-    often = every.groupBy("key").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
+    # written, so that adaptive execution sees two plain sides and can split the rows of a value that very many classes have
+    often = materialise(every.groupBy("key").agg(F.count(F.lit(1)).alias("often")).filter("often > 1"), "often")
     shared = every.join(often, "key")
     rare = Window.partitionBy("rep").orderBy("often", "key")
     each = Window.partitionBy("rep")
@@ -236,7 +237,7 @@ def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
 def _stars(posted: DataFrame) -> DataFrame:
     """Each list's member of most frequent values (b) with every other one (a)."""
     centre = posted.groupBy("key").agg(F.max_by("rep", F.struct("common", "rep")).alias("b"), F.count(F.lit(1)).alias("k")).filter("k > 1")
-    return posted.join(centre, "key").filter("rep <> b").select(F.col("rep").alias("a"), "b").distinct()
+    return posted.join(materialise(centre, "centres"), "key").filter("rep <> b").select(F.col("rep").alias("a"), "b").distinct()
 
 
 def _within_reach(r_a, n_a, r_b, n_b):
@@ -261,16 +262,16 @@ def _across(posted: DataFrame, found: DataFrame, classes: DataFrame, docs: DataF
     labelled = posted.join(found, posted["rep"] == found["node"], "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
     per = labelled.groupBy("key", "component").agg(F.count(F.lit(1)).alias("k"))
     open_ = per.groupBy("key").agg(F.max_by("component", F.struct("k", "component")).alias("major"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-    rest = labelled.join(open_.select("key", "major"), "key")
+    rest = labelled.join(materialise(open_.select("key", "major"), "open-lists"), "key")
     members = rest.groupBy("rep").agg(F.min("component").alias("component"), F.max(F.col("component") != F.col("major")).alias("straggler"))
     members = materialise(members, "open-members")
     ids = members.select(F.col("rep").alias("doc_id"))
     read = docs.select("doc_id", "text").join(small(ids, BROADCAST_IDS), "doc_id", "left_semi")
     sets = materialise(full_sets(read, listed=True), "open-sets")
     each = sets.select("doc_id", "h1", F.size("hashes").alias("n"), F.explode("hashes").alias("x"))
-    often = each.groupBy("x").agg(F.count(F.lit(1)).alias("c"))
+    often = materialise(each.groupBy("x").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "often")
     rare = Window.partitionBy("doc_id", "h1").orderBy("c", "x")
-    ranks = each.join(often, "x").withColumn("r", F.dense_rank().over(rare))
+    ranks = each.join(often, "x", "left").withColumn("c", F.coalesce("c", F.lit(1))).withColumn("r", F.dense_rank().over(rare))
     longest = F.col("n") - F.ceil(F.col("n") * PERCENT / 100.0 - 1e-9) + 1
     prefix = ranks.filter((F.col("c") > 1) & (F.col("r") <= longest)).join(members, F.col("doc_id") == F.col("rep"))
     prefix = materialise(prefix.select("x", "rep", "n", "r", "component", "straggler"), "open-prefixes")

@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from graphloom.llm import neardup
 from graphloom.llm.components import components
 from tests.llm.brute import components as brute_components
@@ -49,7 +51,9 @@ def test_null_and_repeated_ids_and_no_rows(spark):
     assert neardup.near_duplicates(spark.createDataFrame([], schema)).count() == 0
 
 
-def test_components_of_a_path_and_a_star(spark):
+@pytest.mark.parametrize("share", [4, 256])
+def test_components_of_a_path_and_a_star(spark, monkeypatch, share):
+    monkeypatch.setattr("graphloom.llm.components.SHARE", share)
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(range(41), 0), **dict.fromkeys(range(100, 130), 100)}

@@ -5,17 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from graphloom.operators import together
 from graphloom.operators.ordering import ranked, shuffle_width, small
-from graphloom.sources.shared import materialise
+from graphloom.sources.shared import materialise, release
 from graphloom.sources.tables import table
 
 
-def concepts(docs: DataFrame, least: int = 4) -> DataFrame:
-    """(doc_id, token): distinct a-z words of ``least`` letters or more of lower-cased texts."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{%d,}" % least), F.lit(0)))
-    return docs.select("doc_id", F.explode(words).alias("token"))
-
-
 def keywords(docs: DataFrame, k: int = 32, least: int = 4) -> DataFrame:
     """(doc_id, token): the ``k`` most telling words of each document, by count in it x ln(documents / documents with the word).
 
@@ -41,36 +36,62 @@ def cooccurrence(docs: DataFrame, k: int = 32, least: int = 3) -> DataFrame:
     return pairs.groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
 
 
-#: Tokens of a document in one block; two blocks make at most the square of it in pairs, in one row.
-BLOCK = 1_000
-#: Token names are broadcast up to so many (about 60 bytes each).
+#: Tokens of one range at most: two arrays of counts of that length fit a core's cache.
+BLOCK = 1 << 18
+#: Ranges of tokens at least, and (document, token) rows of one range at most, but for one bucket: a cell of two ranges is one task.
+RANGES = 7
+HELD = 10_000_000
+#: Buckets of tokens whose sizes the driver reads to cut the ranges.
+BUCKETS = 4_096
+#: Token names are broadcast up to so many (about 60 bytes each); a range's names go to its cells.
 NAMES = 500_000
+TOKENS = 1_000_000
+
+
+def _bounds(named: DataFrame, block: int) -> list[int]:
+    """Where ranges of token numbers start, and the end of the last: near equal in rows, each of about ``block`` numbers at most."""
+    tokens = named.count()
+    step = max(1, min(block, -(-tokens // BUCKETS)))
+    sizes = named.groupBy(F.floor(F.col("id") / step).alias("at")).agg(F.sum("df").alias("n")).sort("at").collect()
+    total = sum(r["n"] for r in sizes)
+    k, before, bounds, last = max(RANGES, -(-total // HELD)), 0, [], None
+    for at, n in sizes:
+        key = (before * k // total, at * step // block)
+        if key != last:
+            bounds.append(at * step)
+        before, last = before + n, key
+    return [*bounds, tokens]
 
 
 def all_cooccurrence(docs: DataFrame, least: int = 3, block: int = BLOCK) -> DataFrame:
     """(a, b, n): all pairs a < b of tokens that stand together in ``least`` documents or more, without a bound on tokens.
 
     A token of fewer than ``least`` documents is in no such pair, so leaving it
-    out loses nothing.  Tokens are numbered in their order and a document's
-    numbers cut into blocks; every two blocks of a document are one row, dealt
-    evenly, so a long document is not one task.  Pairs are counted as one
-    long each.  Rows of one doc_id are one document, rows without are none.
+    out loses nothing.  Tokens are numbered in their order and cut into ranges;
+    every two ranges are a cell, one task, that counts its pairs in arrays
+    (``together``).  A document's numbers travel once for each range that it
+    meets, pairs only when they are counted.  Rows of one doc_id are one
+    document, rows without are none.
     """
-    tokens = concepts(docs.filter("doc_id IS NOT NULL"))
-    often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") >= least).select("token")
+    spark = docs.sparkSession
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0)))
+    listed = materialise(docs.filter("doc_id IS NOT NULL").select("doc_id", words.alias("ts")), "words")
+    tokens = listed.select("doc_id", F.explode("ts").alias("token"))
+    often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") >= least)
     named = materialise(ranked(often, [], ["token"], "id"), "token-ids")
-    names = small(named, NAMES)
-    listed = tokens.join(names, "token").groupBy("doc_id").agg(F.array_sort(F.collect_set("id")).alias("ids"))
-    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size("ids") - 1) / block).cast("int")), lambda i: F.slice("ids", i * block + 1, F.lit(block)))
-    two = lambda x, i: F.transform(F.slice("bs", i + 1, F.size("bs")), lambda y, j: F.struct(x.alias("x"), y.alias("y"), (j == 0).alias("same")))
-    blocks = listed.select(cut.alias("bs")).select(F.explode(F.flatten(F.transform("bs", two))).alias("t")).select("t.*")
-    dealt = blocks.repartition(shuffle_width(docs.sparkSession))
-    partners = lambda i: F.when(F.col("same"), F.slice("y", i + 2, F.size("y"))).otherwise(F.col("y"))
-    packed = F.transform("x", lambda a, i: F.transform(partners(i), lambda b: F.shiftleft(a, 32).bitwiseOR(b)))
-    counted = dealt.select(F.explode(F.flatten(packed)).alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
-    ids = counted.select(F.shiftright("p", 32).alias("_a"), F.col("p").bitwiseAND(F.lit((1 << 32) - 1)).alias("_b"), "n")
-    first, second = (names.select(F.col("id").alias(f"_{c}"), F.col("token").alias(c)) for c in "ab")
-    return ids.join(first, "_a").join(second, "_b").select("a", "b", "n")
+    bounds = _bounds(named, block)
+    kind = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}"
+    numbers = tokens.join(small(named.select("token", "id"), TOKENS), "token").select("doc_id", F.col("id").cast("int").alias("id"))
+    sets = materialise(numbers.mapInArrow(together.gathered, f"{kind}, ids binary"), "sets")
+    release(listed)
+    cells, layout = together.cells(len(bounds) - 1), "cell int, side int, x binary, y binary"
+    parts = sets.repartition(shuffle_width(spark), "doc_id").sortWithinPartitions("doc_id").mapInArrow(together.dealt(bounds), layout)
+    ranges = F.broadcast(spark.createDataFrame([(r, *bounds[r : r + 2]) for r in range(len(bounds) - 1)], "r int, lo long, hi long"))
+    wanted = F.broadcast(spark.createDataFrame([(c, side + 1, r) for c, cell in enumerate(cells) for side, r in enumerate(cell)], "cell int, side int, r int"))
+    inside = named.join(ranges, (F.col("id") >= F.col("lo")) & (F.col("id") < F.col("hi"))).groupBy("r").agg(F.array_sort(F.collect_list(F.struct("id", "token"))).alias("ts"))
+    names = inside.join(wanted, "r").select("cell", "side", F.array_join("ts.token", "\n").cast("binary").alias("x"), F.lit("").cast("binary").alias("y"))
+    dealt = parts.unionByName(names).repartitionById(max(1, len(cells)), "cell")
+    return dealt.mapInArrow(together.counted(bounds, least), "a string, b string, n long")
 
 
 def consolidate(spark: SparkSession, d: str) -> DataFrame:
